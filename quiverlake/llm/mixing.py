@@ -49,8 +49,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def chance(doc_id: str = "doc_id", seed: int = SEED) -> Column:
-    """A number from 0 up to 1 that a document's id and the seed fix."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`")), 11) / F.lit(float(1 << 53))
+    """A number from 0 up to 1 that a document's id and the seed fix: the first 52 bits of an md5."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def with_copies(df: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
