@@ -29,8 +29,8 @@ class Band:
 
 
 #: The limits widen as texts get shorter, where a ratio says little; below the first size there are none.
-WHOLE = (Band(200, 0.18, 1.00), Band(500, 0.22, 0.92), Band(2_000, 0.22, 0.85), Band(10_000, 0.20, 0.80), Band(100_000, 0.18, 0.80))
-CHUNK_BYTES, CHUNK, BAD_CHUNKS = 4_096, Band(4_096, 0.15, 0.85), 0.5
+WHOLE = (Band(200, 0.18, 1.00), Band(500, 0.22, 0.90), Band(2_000, 0.22, 0.78), Band(10_000, 0.20, 0.72), Band(100_000, 0.18, 0.72))
+CHUNK_BYTES, CHUNK, BAD_CHUNKS = 4_096, Band(4_096, 0.15, 0.75), 0.5
 _COMPRESS = zstandard.ZstdCompressor(level=3)
 
 
