@@ -11,6 +11,7 @@ A corpus is a Parquet table of segments, each the image of one file: whole docum
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,9 @@ from .runtime import stored
 
 MAGIC, BLOCK = b"QLDAC01\n", 512
 #: Words that a Python worker keeps, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 250_000, 64
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
+#: Up to so many segments (three numbers each), their starts are broadcast.
+BROADCAST_SEGMENTS = 200_000
 SEGMENT = "part int, segment int, first_doc long, tokens long, doc_ids array<long>, doc_lengths array<int>, image binary"
 
 
@@ -111,26 +114,73 @@ class Image:
 
 
 # --- texts to ids ---------------------------------------------------------------------------------------------------
+#: A word of Latin letters that NFC keeps and that lose nothing in lower case, and ASCII marks without an apostrophe.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level models have for bytes: printable ones stand for themselves, others follow U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class Words:
-    """A tokenizer that never joins words across ASCII white space, so each word is encoded once and kept."""
+    """A tokenizer that never joins words across ASCII white space, so each word is encoded once and kept.
+
+    Plain words, letters with ASCII marks after them, go to the library's BPE model as the two parts that the tokenizer
+    cuts them into, lower-cased, and parts are kept too. This holds for tokenizers that normalise with NFC and lower case
+    and cut by runs of letters, single numbers and runs of other marks; ``__init__`` tries it out, and if it doesn't hold, as
+    for all other words, the whole tokenizer encodes the word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.parts, self.letters = Tokenizer.from_file(path), {}, {}, _byte_characters()
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = ["Straße,", "THE!!", "naïve...", "Éß", "a|b", "word", "Ǆx.", "end)."]
+        self.by_parts = True
+        same = [self._ids(w.encode()) for w in probe] == [self._whole(w) for w in probe]
+        self.by_parts = same and not any(_PLAIN(t) or _PLAIN("a" + t) for t in added)  # a plain word can't hold one
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(spelt)
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(part) <= CACHE_BYTES:
+            self.parts[part] = ids
+        return ids
+
+    def _ids(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        plain = self.by_parts and _PLAIN(word)
+        if not plain:
+            return self._whole(word)
+        letters, marks = plain.groups()
+        letters, parts = letters.lower(), self.parts
+        ids = parts.get(letters) or self._part(letters)
+        return ids + (parts.get(marks) or self._part(marks)) if marks else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cache, split = self.cache, [t.encode().split() for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = list({w for words in split for w in words if w not in cache})
-        local: dict[bytes, bytes] = {}
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            (cache if len(w) <= CACHE_BYTES else local)[w] = np.array(e.ids, "<u4").tobytes()
-        get = (cache if not local else {**cache, **local}).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        words, split, used = self.words, [t.encode().split() for t in texts], set()
+        for own in split:
+            used.update(own)
+        fresh = used.difference(words)
+        words.update(zip(fresh, map(self._ids, fresh), strict=True))
+        out = [b"".join(map(words.__getitem__, own)) for own in split]
+        if len(words) > CACHE_WORDS:  # the words of these texts stay, common ones among them
+            self.words = words = {w: words[w] for w in used}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        for w in [w for w in fresh if len(w) > CACHE_BYTES]:
+            words.pop(w, None)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -192,7 +242,8 @@ def read(segments: DataFrame) -> DataFrame:
     """Of each document: doc_id, start (ids before it), n_tokens and its ids as little-endian 32-bit integers.
 
     Starts come from sums over each part's segments, and over the parts, of which there are as many as write() had
-    partitions.
+    partitions. The segments are counted first; the starts of up to ``BROADCAST_SEGMENTS`` are broadcast, so images are
+    not shuffled for them.
     """
     sizes = segments.select("part", "segment", "tokens")
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("tokens"))
@@ -200,6 +251,8 @@ def read(segments: DataFrame) -> DataFrame:
     parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
     own = sizes.select("part", "segment", before(Window.partitionBy("part").orderBy("segment")).alias("own_start"))
     starts = own.join(parts, "part").select("part", "segment", (F.col("part_start") + F.col("own_start")).alias("start"))
+    if sizes.count() <= BROADCAST_SEGMENTS:
+        starts = F.broadcast(starts)
     rows = segments.join(starts, ["part", "segment"]).select("start", "doc_ids", "doc_lengths", "image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
