@@ -202,7 +202,7 @@ class Collection:
 
         if len(query) != self.dim:
             raise EngineError(EngineError.DIMENSION, f"the query has {len(query)} dimensions, the collection {self.dim}")
-        return knn(self.rows, query, k, self.metric, self.id_col, self.vector, where.column() if where else None)
+        return knn(self.rows, query, k, self.metric, self.id_col, self.vector, where.where() if where else None)
 
     def batch_search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         from .knn import knn_batch

@@ -1,7 +1,7 @@
 """Metadata filters as a tree of conditions.
 
-Logic is two-valued: a condition on a missing value is false, so its negation is true. ``column`` gives one predicate
-that Catalyst can push to the scan. An empty ``And`` lets all rows pass, an empty ``Or`` none.
+Logic is two-valued: a condition on a missing value is false, so its negation is true. ``column`` is true or false for
+every row; ``where`` may be null instead of false, as a filter allows, and its comparisons reach the scan. An empty ``And`` lets all rows pass, an empty ``Or`` none.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ class Filter:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def where(self) -> Column:
+        return self.column()
+
     def __and__(self, other: Filter) -> Filter:
         return And(self, other)
 
@@ -28,7 +31,7 @@ class Filter:
         return Not(self)
 
     def of(self, df: DataFrame) -> DataFrame:
-        return df.filter(self.column())
+        return df.filter(self.where())
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,10 @@ class _Leaf(Filter):
         raise NotImplementedError
 
     def column(self) -> Column:
-        return F.coalesce(self.test(F.col(self.field)), F.lit(False))
+        return F.coalesce(self.where(), F.lit(False))
+
+    def where(self) -> Column:
+        return self.test(F.col(self.field))
 
 
 class Eq(_Leaf):
@@ -56,12 +62,9 @@ class Has(_Leaf):
 
 
 class Ne(_Leaf):
-    def column(self):
+    def where(self):
         return ~Eq(self.field, self.value).column()
 
-    def test(self, c):
-        return c != self.value
-
 
 class Lt(_Leaf):
     def test(self, c):
@@ -119,11 +122,17 @@ class And(_Many):
     def column(self):
         return reduce(lambda a, b: a & b, (p.column() for p in self.parts), F.lit(True))
 
+    def where(self):
+        return reduce(lambda a, b: a & b, (p.where() for p in self.parts), F.lit(True))
+
 
 class Or(_Many):
     def column(self):
         return reduce(lambda a, b: a | b, (p.column() for p in self.parts), F.lit(False))
 
+    def where(self):
+        return reduce(lambda a, b: a | b, (p.where() for p in self.parts), F.lit(False))
+
 
 @dataclass(frozen=True)
 class Not(Filter):
