@@ -28,3 +28,26 @@ def fnv1a_low(text: Column) -> Column:
     """The low 32 bits of the 64-bit FNV-1a hash, as bigint."""
     step = lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME_LOW).bitwiseAND(0xFFFFFFFF)
     return F.aggregate(_bytes(text), F.lit(FNV_BASIS_LOW).cast("bigint"), step)
+
+
+def vector_hash(vector: str | Column) -> Column:
+    """DJB2 of a vector's components as little-endian 32-bit floats, as an unsigned number in text. Bits of floats are out
+    of reach of expressions, so this is an Arrow function."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("string")
+    def of(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values.to_pylist():
+            if v is None:
+                out.append(None)
+                continue
+            h = DJB2_SEED
+            for b in np.array(v, "<f4").tobytes():
+                h = (h * DJB2_FACTOR + b) & 0xFFFFFFFFFFFFFFFF
+            out.append(str(h))
+        return pa.array(out, pa.string())
+
+    return of(F.col(vector) if isinstance(vector, str) else vector)

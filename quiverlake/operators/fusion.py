@@ -102,3 +102,37 @@ def store_stats(per_document: DataFrame) -> DataFrame:
     return per_document.groupBy(kind.alias("kind")).agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"))
 
 
+
+
+# --- hybrid queries -------------------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class HybridQuery:
+    """Any of a vector, words and a sparse vector, with weights and a filter."""
+
+    vector: list[float] | None = None
+    text: str | None = None
+    sparse: dict[int, float] | None = None
+    k: int = 10
+    weights: Weights = PRESETS["default"]
+    where: object | None = None
+    metric: str = "cosine"
+
+    def __post_init__(self):
+        if self.vector is None and self.text is None and self.sparse is None:
+            raise ValueError("a hybrid query has at least one signal")
+        if self.vector == [] or self.text == "" or self.sparse == {} or self.k < 1:
+            raise ValueError("signals are not empty, and k is at least 1")
+
+
+def search(query: HybridQuery, docs: DataFrame, id_col: str = "doc_id", vector: str = "embedding", text: str = "text", sparse: str = "sparse") -> DataFrame:
+    """Filters, gathers ``CANDIDATES`` * k candidates of each signal, fuses them, and attaches the documents."""
+    from .knn import knn
+    from .text_search import bm25, sparse_scores
+
+    n = candidates(query.k)
+    rows = docs if query.where is None else query.where.of(docs)
+    dense = None if query.vector is None else knn(rows.filter(F.col(vector).isNotNull()), query.vector, n, query.metric, id_col, vector)
+    words = None if query.text is None else bm25(rows, query.text, n, id_col, text)
+    entries = None if query.sparse is None else sparse_scores(rows.filter(F.col(sparse).isNotNull()), query.sparse, n, id_col, sparse)
+    fused = fuse(dense, words, entries, query.k, query.weights, id_col)
+    return fused.join(docs.drop("score", "dense", "bm25"), id_col).orderBy(F.col("score").desc(), id_col)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import total
+from ..sources.scratch import stored
 
 
 def per_dimension(rows: DataFrame, vector: str = "embedding", **aggregates) -> DataFrame:
@@ -128,8 +129,8 @@ def pq_decode(rows: DataFrame, codebook: DataFrame, code: str = "code") -> DataF
 def pq_train(rows: DataFrame, m: int, k: int, dim: int, iterations: int = 10, id_col: str = "vec_id", vector: str = "embedding", store=None) -> DataFrame:
     """A codebook by Lloyd's iterations from the first k rows: means are combined before the shuffle, an empty centroid
     stays, and of equal distances the first centroid wins. ``store`` cuts the lineage of each codebook (m * k rows): it
-    writes a DataFrame and returns it as read again; without it checkpoint() does."""
-    store = store or (lambda df: df.checkpoint())
+    writes a DataFrame and returns it as read again."""
+    store = store or stored
     book = store(first_codebook(rows, m, k, dim, id_col, vector))
     for _ in range(iterations):
         parts = pq_encode(rows.select(id_col, vector), book, m, dim, vector).select("code", split(F.col(vector).cast("array<double>"), m, dim).alias("p"))

@@ -136,3 +136,15 @@ def admission(requests: DataFrame, limit: Column | int) -> DataFrame:
 def newest(audit: DataFrame, n: int, by: str, seq: str) -> DataFrame:
     """The n newest entries of each tenant."""
     return audit.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.col(seq).desc()))).filter(F.col("__r") <= n).drop("__r")
+
+
+def write_by_shard(rows: DataFrame, shard: Column, path: str) -> None:
+    """One folder for each shard; a point query then reads one (partition pruning)."""
+    rows.withColumn("shard", shard).repartition("shard").write.mode("append").partitionBy("shard").parquet(path)
+
+
+def shards_of(kind: str, shard: int, shards: int, factor: int, strong: bool = False) -> list[int]:
+    """The shards that a query goes to: a point query to one, with its replicas if reads are strong; others to all."""
+    if kind != "point":
+        return list(range(shards))
+    return [(shard + i) % shards for i in range(factor if strong else 1)]

@@ -10,6 +10,9 @@ from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import routing as R
 from ..operators import stats as S
+from ..operators import walk
+from ..operators.catalog import metadata_text, recovery_plan
+from ..sources.scratch import stored
 from ..sources.tables import read
 from ..streaming import ingest
 from .registry import query
@@ -177,6 +180,18 @@ def snapshot_checksum(spark, sf):
     return C.checksum(embeddings(spark, sf).select("vec_id", "label"))
 
 
+@query("SELECT 'recovering' AS state, max(event_id) FILTER (WHERE event_type = 'signup' AND event_id % 3 <> 0) AS base, count(*) FILTER (WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup' AND event_id % 3 <> 0)) AS replay FROM events")
+def crash_recovery(spark, sf):
+    return recovery_plan(_snaps(spark, sf), events(spark, sf).select(F.col("event_id").alias("seq")))
+
+
+@query("SELECT event_id, coalesce(props ->> 'k', 'null') AS k, len(json_keys(props))::INTEGER AS n FROM events WHERE event_id < 2000")
+def metadata_coercion(spark, sf):
+    """JSON metadata as stored text."""
+    m = metadata_text(F.col("props"))
+    return events(spark, sf).filter("event_id < 2000").select("event_id", F.coalesce(F.try_element_at(m, F.lit("k")), F.lit("null")).alias("k"), F.size(m).alias("n"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_windows(spark, sf):
@@ -194,7 +209,10 @@ def stream_sessions(spark, sf):
 
 
 # --- shards ---------------------------------------------------------------------------------------------------------
-KEY = F.concat(F.lit("doc"), F.col("vec_id").cast("string"))
+def key():
+    return F.concat(F.lit("doc"), F.col("vec_id").cast("string"))
+
+
 #: DuckDB folds a string's bytes with wide integers.
 CODES = "list_transform(range(1, strlen(k) + 1), lambda i: ascii(substr(k, i::INTEGER, 1)))"
 DJB2 = f"list_reduce(list_prepend(5381::HUGEINT, list_transform({CODES}, lambda c: c::HUGEINT)), lambda h, c: (h * 33 + c) % 18446744073709551616::HUGEINT)"
@@ -204,12 +222,12 @@ KEYS = "(SELECT vec_id, 'doc' || vec_id AS k FROM embeddings)"
 
 @query(f"SELECT vec_id, ({DJB2})::VARCHAR AS hash, (({DJB2}) % 16)::INTEGER AS shard FROM {KEYS} x")
 def shard_hash(spark, sf):
-    return embeddings(spark, sf).select("vec_id", djb2(KEY).cast("string").alias("hash"), R.hash_shard(KEY, 16).alias("shard"))
+    return embeddings(spark, sf).select("vec_id", djb2(key()).cast("string").alias("hash"), R.hash_shard(key(), 16).alias("shard"))
 
 
 @query(f"SELECT vec_id, s::INTEGER AS shard, [((s + 1) % 12)::INTEGER, ((s + 2) % 12)::INTEGER] AS replicas FROM (SELECT vec_id, ({FNV}) % 12 AS s FROM {KEYS} x)")
 def shard_fnv_replicas(spark, sf):
-    shard = R.fnv_shard(KEY, 12)
+    shard = R.fnv_shard(key(), 12)
     return embeddings(spark, sf).select("vec_id", shard.alias("shard"), R.replicas(shard, 12, 3).alias("replicas"))
 
 
@@ -218,7 +236,7 @@ BOUNDS = [("doc0", "doc2"), ("doc2", "doc4zz"), ("doc5", "doc7")]
 
 @query("SELECT vec_id, CASE WHEN k BETWEEN 'doc0' AND 'doc2' THEN 0 WHEN k BETWEEN 'doc2' AND 'doc4zz' THEN 1 ELSE 2 END AS shard FROM (SELECT vec_id, 'doc' || vec_id AS k FROM embeddings)")
 def shard_range(spark, sf):
-    return embeddings(spark, sf).select("vec_id", R.range_shard(KEY, BOUNDS).alias("shard"))
+    return embeddings(spark, sf).select("vec_id", R.range_shard(key(), BOUNDS).alias("shard"))
 
 
 POLY = f"list_reduce(list_prepend(0::BIGINT, list_transform({CODES}, lambda c: c::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
@@ -226,12 +244,12 @@ POLY = f"list_reduce(list_prepend(0::BIGINT, list_transform({CODES}, lambda c: c
 
 @query(f"SELECT vec_id, ({POLY}) AS poly, strlen(k) % 4 AS by_length FROM {KEYS} x")
 def shard_poly(spark, sf):
-    return embeddings(spark, sf).select("vec_id", R.poly31(KEY).alias("poly"), R.length_shard(KEY, 4).cast("long").alias("by_length"))
+    return embeddings(spark, sf).select("vec_id", R.poly31(key()).alias("poly"), R.length_shard(key(), 4).cast("long").alias("by_length"))
 
 
 @query(f"SELECT shard, count(*) AS n, min(vec_id) AS first FROM (SELECT vec_id, (({DJB2}) % 16)::INTEGER AS shard FROM {KEYS} x) GROUP BY shard")
 def route_inserts(spark, sf):
-    return embeddings(spark, sf).groupBy(R.hash_shard(KEY, 16).alias("shard")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    return embeddings(spark, sf).groupBy(R.hash_shard(key(), 16).alias("shard")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
 @query(f"""WITH nodes AS (SELECT 'node' || i AS node FROM range(5) t(i)),
@@ -240,7 +258,7 @@ h AS (SELECT vec_id, ({FNV}) AS h FROM {KEYS} x)
 SELECT vec_id, coalesce((SELECT arg_min(node, (point, node)) FROM ring WHERE point >= h), (SELECT arg_min(node, (point, node)) FROM ring)) AS node FROM h""")
 def hash_ring(spark, sf):
     nodes = spark.range(5).select(F.concat(F.lit("node"), F.col("id").cast("string")).alias("node"))
-    return R.on_ring(embeddings(spark, sf).select("vec_id", KEY.alias("key")), R.ring(nodes)).select("vec_id", "node")
+    return R.on_ring(embeddings(spark, sf).select("vec_id", key().alias("key")), R.ring(nodes)).select("vec_id", "node")
 
 
 @query("""SELECT doc_id, max(score) AS score, min(shard) AS shard FROM (
@@ -365,6 +383,20 @@ def subgraph_chunks(spark, sf):
     return G.chunks(embeddings(spark, sf).select("vec_id"), 128).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT 0 AS layer, src AS node, list(dst ORDER BY dst) AS neighbours FROM {EDGES.format(m=5)} e GROUP BY src")
+def graph_adjacency(spark, sf):
+    """The graph as a snapshot keeps it."""
+    return walk.adjacency(G.edges(embeddings(spark, sf), 5).select(F.lit(0).alias("layer"), "src", "dst"))
+
+
+@query()
+def graph_walk(spark, sf):
+    """Recall@10 of a best-first walk; tests hold the walk against a plain one."""
+    e = embeddings(spark, sf)
+    near = stored(walk.undirected(G.edges(e, 17)))
+    return K.recall(walk.search(e, near, five(e), 0, 10, 50, stored), K.knn_batch(e, five(e), 10), 10)
+
+
 @query()
 def ann_ivf(spark, sf):
     """Recall@10 of inverted-file search over the 6 of 16 cells nearest to each query; tests hold the search against brute

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import knn as K
 from ..operators import quantize as Z
+from ..sources.scratch import stored
 from .registry import query
 from .vectors import VECTOR, VECTOR_SQL, embeddings, five
 
@@ -130,17 +131,10 @@ def pq_adc_rerank(spark, sf):
     return Z.adc_search(coded, book, VECTOR, 10, M, exact="embedding").withColumn("distance", F.round("distance", 5))
 
 
-def _store(spark):
-    """Codebooks go to the checkpoint folder; where none is set, to memory of this process."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return lambda df: df.checkpoint()
-    return lambda df: spark.createDataFrame(df.collect(), df.schema)  # m * k rows
-
-
 @query()
 def pq_train(spark, sf):
     """Ten iterations; tests hold it against plain numpy."""
-    book = Z.pq_train(embeddings(spark, sf), M, CODES, DIM, store=_store(spark))
+    book = Z.pq_train(embeddings(spark, sf), M, CODES, DIM, store=stored)
     return book.select("sub", "code", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
 
 

@@ -42,3 +42,24 @@ def run_available(df: DataFrame, checkpoint: str, out_path: str):
     query = df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
+    """client, allowed and denied of each micro-batch's requests (client, ts): a token bucket for each client, which fills
+    with ``rate`` tokens a second up to ``burst``. The state of a client is two numbers."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def decide(key, batches, state: GroupState):
+        tokens, last = state.get if state.exists else (burst, None)
+        n = [0, 0]
+        for ts in sorted(x for b in batches for x in b["ts"].astype("datetime64[ns]").astype("int64").tolist()):
+            tokens = min(burst, tokens + (max(0, ts - last) / 1e9 * rate if last is not None else 0))
+            last = ts if last is None else max(last, ts)
+            ok = tokens >= 1
+            tokens -= ok
+            n[not ok] += 1
+        state.update((tokens, last))
+        yield pd.DataFrame({"client": [key[0]], "allowed": [n[0]], "denied": [n[1]]})
+
+    return requests.groupBy("client").applyInPandasWithState(decide, "client long, allowed long, denied long", "tokens double, last long", "update", GroupStateTimeout.NoTimeout)

@@ -46,3 +46,14 @@ def test_without_sql(spark, sf, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["qid", "rk", "vec_id", "distance"] and df.count() == 25
+
+
+def test_names_without_a_session_or_the_training_operators():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['quiverlake.llm'] = {0}; import __spark_entry__ as e; print(*e.queries())"
+    run = lambda block: subprocess.run([sys.executable, "-c", code.format(block)], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True).stdout.split()
+    without = run("None")
+    assert set(without) == set(OWN) and "knn_l2_batch" in without
