@@ -37,9 +37,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, piece_ids, and whether the ids decode to the text (a U+2581 comes back a space)."""
-    out = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
-    return out.select("doc_id", "source", "lang", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", same.alias("round_trip"))
+    out = pieces.encode(docs.select("doc_id", "source", "lang", "text"), PIECE_MODEL, drop=("text",), round_trip="round_trip")
+    return out.select("doc_id", "source", "lang", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", "round_trip")
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from .runtime import with_columns
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words that a Python worker keeps, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 
 def model_path(model: str) -> str:
@@ -194,19 +194,20 @@ class PieceModel:
         return self.byte_ids[list(char.encode())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split = self.cache, [self.words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = {w for words in split for w in words if w not in cache}
-        local: dict[str, bytes] = {}
-        if fresh:
-            fresh = list(fresh)
-            for k in range(0, len(fresh), 20_000):
-                part = fresh[k : k + 20_000]
-                for w, ids in zip(part, self.merge(part), strict=True):
-                    (cache if len(w) <= CACHE_CHARS else local)[w] = ids
-        get = (cache if not local else {**cache, **local}).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        cache, split, used = self.cache, [self.words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts], set()
+        for words in split:
+            used.update(words)
+        fresh = list(used.difference(cache))
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
+            cache.update(zip(part, self.merge(part), strict=True))
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
+        if len(cache) > CACHE_WORDS:  # the words of these texts stay, common ones among them
+            self.cache = {w: cache[w] for w in used if w in cache}
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids), which it calls for pieces that need their neighbours (bytes over 127,
@@ -222,18 +223,29 @@ def load(model: str) -> PieceModel:
     return PieceModel(model_path(model))
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", drop: tuple[str, ...] = ()) -> DataFrame:
+def encode(
+    df: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", drop: tuple[str, ...] = (), decoded: str | None = None, round_trip: str | None = None,
+) -> DataFrame:
     """Adds ``ids``, an array of the piece ids of each whole text, without begin or end ids.
 
-    A null or empty text has no ids. Repeated rows stay. A column named ``ids`` is replaced; others stay, but for ``drop``.
+    On demand the same Python worker decodes the ids again: ``decoded`` names a column for the text that they give, and
+    ``round_trip`` one that says whether it is the text (a U+2581 comes back a space). A null or empty text has no ids
+    and decodes to an empty one. Repeated rows stay. Columns with the new names are replaced; others stay, but for ``drop``.
     """
 
     def make(texts: pa.Array) -> dict:
-        raw = load(model).encode([t or "" for t in texts.to_pylist()])
+        texts = [t or "" for t in texts.to_pylist()]
+        raw = load(model).encode(texts)
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
-        return {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))}
+        out = {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))}
+        if decoded or round_trip:
+            again = [load(model).decode(np.frombuffer(r, "<i4")) for r in raw]
+            out |= {decoded: pa.array(again, pa.string())} if decoded else {}
+            out |= {round_trip: [a == t.replace(SPACE, " ") for a, t in zip(again, texts, strict=True)]} if round_trip else {}
+        return out
 
-    return with_columns(df, [text], f"`{ids}` array<int>", make, drop)
+    fields = [f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else []), *([f"`{round_trip}` boolean"] if round_trip else [])]
+    return with_columns(df, [text], ", ".join(fields), make, drop, slice_rows=128)
 
 
 def decode(df: DataFrame, model: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:

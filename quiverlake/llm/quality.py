@@ -135,6 +135,17 @@ def score(df: DataFrame, model: Discriminant, drop: tuple[str, ...] = ()) -> Dat
     return with_columns(df, ["statistics"], "score double", make, drop)
 
 
+def score_texts(df: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
+    """Adds ``score`` to rows with a text, in one step."""
+    model.factors  # noqa: B018
+
+    def make(t: pa.Array) -> dict:
+        x = np.array([statistics(v or "") for v in t.to_pylist()]).reshape(-1, len(NAMES))
+        return {"score": pa.array(model.score(x))}
+
+    return with_columns(df, [text], "score double", make)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a document is kept from the fit: crc32 of its id as text leaves 2 when divided by 4. A null id is not."""
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 4 == 2, F.lit(False))
@@ -158,10 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, as they are, but for columns named statistics or score.
+    """The rows of ``docs`` whose score reaches ``threshold``, as they are, but for a column named score.
 
     One pass fits the model; a second scores and filters each row where it is read, so texts are never shuffled.
     """
     known = stored(with_statistics(docs.select("doc_id", F.col(f"`{text}`").alias("text")), drop=("text",)), "statistics")
     model = _learnt(known, labels)
-    return score(with_statistics(docs, text), model, drop=("statistics",)).filter(F.col("score") >= threshold).drop("score")
+    return score_texts(docs, model, text).filter(F.col("score") >= threshold).drop("score")

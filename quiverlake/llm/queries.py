@@ -41,7 +41,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, PIECE_MODEL, drop=("text",)), PIECE_MODEL)
+    out = pieces.encode(docs, PIECE_MODEL, drop=("text",), decoded="decoded")
     return out.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("piece_ids").cast("array<string>"), ",")).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"),
