@@ -25,14 +25,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        large = stored(large, "edges")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v")
+        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = stored(small.union(least.select("u", F.col("low").alias("v"))).distinct(), "edges")
         after = _state(small)
-        drop_stored(large)
         drop_stored(now)
         now, same = small, after == state
         state = after

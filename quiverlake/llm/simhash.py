@@ -219,8 +219,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = stored(fingerprints(rows.withColumn("text_key", F.xxhash64("text")), width=width, drop=("text",)), "fingerprints")
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "distinct")
-    parts = stored(connected_components(links(distinct)), "classes")
+    distinct = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc"))
+    parts = connected_components(links(distinct))
     known = distinct.join(parts, distinct.fingerprint == parts.node, "left").select("fingerprint", "least_doc", F.coalesce("root", "fingerprint").alias("class"))
     known = known.join(known.groupBy("class").agg(F.min("least_doc").alias("component_id")), "class")
     return rows.join(known.select("fingerprint", "class", "component_id"), "fingerprint").select("doc_id", "text_key", "fingerprint", "class", "component_id")
