@@ -1,11 +1,7 @@
-"""What the operators share: the folder for intermediate tables, and batches of rows in Python."""
+"""What the operators share: tables, intermediate tables, and columns from batches of rows in Python."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,52 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import drop_stored, shared_folder, stored  # noqa: F401
+
 #: Words, as every contract of this package has them: runs of anything but a space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_FOLDER: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset (tests, local mode), a folder of this process,
-    which is also made the checkpoint folder and goes when the process ends."""
-    global _OWN_FOLDER
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if _OWN_FOLDER is None:
-        _OWN_FOLDER = tempfile.mkdtemp(prefix="quiverlake-")
-        atexit.register(shutil.rmtree, _OWN_FOLDER, True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_OWN_FOLDER)
-    return f"file://{_OWN_FOLDER}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder, and read again.
-
-    This cuts the lineage: a lost executor costs at most a read of that table. Spark's committer makes sure that
-    a task which runs twice leaves its rows once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quiverlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files that ``df``, which comes from :func:`stored`, reads. For tables that no later plan needs."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def with_columns(
     df: DataFrame,
     inputs: list[str],
