@@ -55,19 +55,17 @@ def chance(doc_id: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def with_copies(df: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and copies to ``df``; ``rates`` is what targets() returns.
+    """Adds ``mix``, a struct of source_size, target and copies; ``rates`` is what targets() returns.
 
     The rates are counted first, and broadcast only if they are few; otherwise they are joined by a shuffle, where
     adaptive execution splits the partitions of large sources.
     """
-    rates = stored(rates, "rates")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (chance(doc_id, seed) < rate - F.floor(rate)).cast("long")
+    rates = stored(rates, "rates").select(F.struct("source", "source_size", "target").alias("__rate"))
     few = rates.count() <= BROADCAST_SOURCES
-    small = rates.withColumnRenamed("source", "__source")
-    df = df.drop("source_size", "target", "copies")
-    joined = df.join(F.broadcast(small) if few else small, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    return joined.withColumn("copies", copies.cast("long")).drop("__source")
+    joined = df.join(F.broadcast(rates) if few else rates, F.col(f"`{source}`").eqNullSafe(F.col("__rate.source")))
+    rate = F.when(F.col("__rate.source_size") > 0, F.col("__rate.target") / F.col("__rate.source_size")).otherwise(0.0)
+    copies = F.floor(rate) + (chance(doc_id, seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("mix", F.struct("__rate.source_size", "__rate.target", copies.cast("long").alias("copies"))).drop("__rate")
 
 
 def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -80,11 +78,13 @@ def plan(df: DataFrame, seed: int = SEED) -> DataFrame:
     Null texts have size 0. Rows with the same id get the same number of copies. An empty table gives no row.
     """
     rows = stored(sized(df), "sizes")
-    return with_copies(rows, targets(rows), seed=seed).withColumn("taken", F.col("size") * F.col("copies"))
+    return with_copies(rows, targets(rows), seed=seed).select("doc_id", "source", "size", "mix.*", (F.col("size") * F.col("mix.copies")).alias("taken"))
 
 
 def mix(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it. Sizes are one pass over the texts; the second pass joins
-    the rates where the rows are, without a shuffle of texts (if there are few sources), and repeats them."""
-    out = with_copies(df, targets(sized(df)), seed=seed)
-    return out.withColumn("__copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array().cast("array<bigint>")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df``, each as often as the mix takes it, with all columns but one named mix. Sizes are one pass over
+    the texts; the second pass joins the rates where the rows are, without a shuffle of texts (if there are few sources),
+    and repeats them."""
+    out = with_copies(df.drop("mix"), targets(sized(df)), seed=seed)
+    again = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("mix.copies"), F.lit(1).cast("long")))
+    return out.filter("mix.copies > 0").withColumn("mix", F.explode(again)).drop("mix")

@@ -369,6 +369,8 @@ def test_mixing(spark, docs, monkeypatch, few):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
+    clash = docs.withColumn("target", F.lit("mine")).withColumn("copies", F.lit(0)).withColumn("source_size", F.lit(0))
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).filter("target = 'mine'").count() == mixed.count()
     assert mixing.plan(empty(spark)).count() == 0
 
 
