@@ -9,8 +9,8 @@ block (9.6 of 2**24 on average), linked fingerprints meet at an anchor, and only
 
 What an anchor finds is returned as a spanning forest, at most one edge for each row. Small anchors compare all their
 rows with numpy. Larger ones tie the fingerprints that are one bit from a common neighbour, which links the same classes
-with 65 entries a row. Anchors with more than ``HOT`` fingerprints do that as a distributed aggregation on the neighbour,
-where a group has at most 65 members.
+with 65 entries a row. Anchors with more than ``HOT`` fingerprints return those ties themselves, each fingerprint with
+the 64 words one bit from it: the words become nodes of the graph, and the components are found as for any other edges.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ GENERATOR = 0b101011100011
 #: Rows of an anchor that are compared with each other, and rows that one task holds.
 SMALL, HOT = 256, 50_000
 SEED = 42
+#: No bit, and each single bit.
+FLIPS = np.r_[np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64)]
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -129,8 +131,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _neighbours(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that tie distinct fingerprints which share a word at one bit or none from both."""
-    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64)]
-    words, own = (fp[:, None] ^ flips).ravel(), np.repeat(np.arange(len(fp)), 65)
+    words, own = (fp[:, None] ^ FLIPS).ravel(), np.repeat(np.arange(len(fp)), 65)
     order = np.argsort(words, kind="stable")
     words, own = words[order], own[order]
     first = np.r_[True, words[1:] != words[:-1]]
@@ -161,7 +162,8 @@ def _forest(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the distinct ``fingerprint`` values just as all links within the threshold do."""
+    """Edges (u, v) that connect the distinct ``fingerprint`` values just as all links within the threshold do. Words one bit
+    from a crowded anchor's fingerprints may be among the nodes; they tie nothing else."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,16 +174,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        rows = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-        def rows(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v.view(np.int64))], ["u", "v"])
+        def spread(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(fp), 1_000):
+                part = fp[k : k + 1_000]
+                yield rows(np.repeat(part, 64), (part[:, None] ^ FLIPS[1:]).ravel())
 
         for batch in batches:
             anchor = np.r_[anchor, batch.column(0).to_numpy()]
             fp = np.r_[fp, batch.column(1).to_numpy().view(np.uint64)]
             if hot is not None:  # the rest of an anchor that is too large for one task
                 n = int(np.searchsorted(anchor, hot, "right"))
-                yield rows(fp[:n], None)
+                yield from spread(fp[:n])
                 anchor, fp = anchor[n:], fp[n:]
                 hot = hot if not len(anchor) else None
             if not len(anchor):
@@ -191,21 +196,14 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield rows(*_forest(anchor[:n], fp[:n]))
             anchor, fp = anchor[n:], fp[n:]
             if len(anchor) > HOT:
-                yield rows(fp, None)
+                yield from spread(fp)
                 hot, anchor, fp = anchor[-1], anchor[:0], fp[:0]
         if len(anchor):
             yield rows(*_forest(anchor, fp))
 
     replicas = distinct.select("fingerprint").mapInArrow(replicate, "anchor long, fp long")
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = replicas.repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
-    found = stored(dealt.mapInArrow(compare, "u long, v long"), "links")
-    crowded = found.filter("v is null").select(F.col("u").alias("fp")).distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), k) for k in range(64)])
-    near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    near = near.groupBy("word").agg(F.collect_list("fp").alias("all")).filter("size(all) > 1")
-    near = near.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).filter("u != v").select("u", "v")
-    return found.filter("v is not null").union(near.distinct())
+    return replicas.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
 
 
 # --- classes --------------------------------------------------------------------------------------------------------
