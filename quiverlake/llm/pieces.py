@@ -73,10 +73,21 @@ class PieceModel:
             if p[:k] in symbols and p[k:] in symbols
         ]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
-        self.pair_key, self.pair_rank, self.pair_piece = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+        # Pairs by key; the place after the last stands for no pair.
+        self.no_pair = len(table)
+        self.pair_key = np.r_[table[:, 0], np.iinfo(np.int64).max]
+        self.pair_rank, self.pair_piece = np.r_[table[:, 1], NONE].astype(np.int32), np.r_[table[:, 2], -1].astype(np.int32)
+        # Places of the pairs of common characters, without a search.
+        common = [chr(c) for c in range(0x250)] + [SPACE]
+        self.slot = np.full(0x110000, -1, np.int16)
+        self.slot[[ord(c) for c in common]] = np.arange(len(common))
+        own = self.of_char[[ord(c) for c in common]].astype(np.int64)
+        self.direct = self._places((own[:, None] * self.n_symbols + own[None, :]).ravel()).astype(np.int32)
+        self.n_slots = len(common)
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.cut_lines = not any("\n" in p for p in ids)
-        self.words_of = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.cut_lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        line = "\n" if self.cut_lines else ""
+        self.segments = re.compile((f"\n[^{SPACE}\n]*|" if line else "") + f"{SPACE}+[^{SPACE}{line}]*").findall
         self.cache: dict[str, bytes] = {}
         # For decoding: what a piece says, for pieces that need no neighbour.
         self.said: list[str | None] = [pieces[i].replace(SPACE, " ") for i in range(n)]
@@ -86,15 +97,10 @@ class PieceModel:
             self.said[self.byte_ids[b]] = chr(b)
             self.alone[self.byte_ids[b]] = True
 
-    def _ranks(self, sym: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank and place in the pair table of each symbol with the next one in its word."""
-        key = np.empty(len(sym), np.int64)
-        key[:-1] = sym[:-1].astype(np.int64) * self.n_symbols + sym[1:]
-        key[-1] = -1
-        key[last] = -1
+    def _places(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key in the pair table, or that of no pair."""
         at = np.searchsorted(self.pair_key, key)
-        at[at == len(self.pair_key)] = 0
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], NONE), at
+        return np.where(self.pair_key[at] == key, at, self.no_pair)
 
     def _by_heap(self, sym: list[int]) -> list[int]:
         """The library's order: best rank first, then leftmost, one pair at a time."""
@@ -122,56 +128,77 @@ class PieceModel:
 
     @lru_cache(maxsize=1)  # noqa: B019  one model a worker
     def _pair_map(self) -> dict[tuple[int, int], tuple[int, int]]:
-        left, right = np.divmod(self.pair_key, self.n_symbols)
-        return {(a, b): (r, p) for a, b, r, p in zip(left.tolist(), right.tolist(), self.pair_rank.tolist(), self.pair_piece.tolist(), strict=True)}
+        left, right = np.divmod(self.pair_key[:-1], self.n_symbols)
+        return {(a, b): (r, p) for a, b, r, p in zip(left.tolist(), right.tolist(), self.pair_rank.tolist(), self.pair_piece.tolist(), strict=False)}
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word (not empty), as little-endian 32-bit integers."""
         char = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        sym = self.of_char[char]
-        # An unknown symbol keeps its character, as a negative number below the symbols, for the bytes at the end.
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        held = np.where(sym == self.unknown, -1 - char.astype(np.int64), sym.astype(np.int64))
-        out: list[bytes] = [b""] * len(words)
-        word = np.arange(len(words))
+        out, word = [b""] * len(words), np.arange(len(words))
         starts = np.cumsum(lengths) - lengths
-        rank, at = self._ranks(sym, starts + lengths - 1)
+        last = np.zeros(len(char), bool)
+        last[starts + lengths - 1] = True
+        # A symbol without a number keeps its character, as a negative number, for the bytes at the end.
+        sym = self.of_char[char].astype(np.int64)
+        held = np.where(sym == self.unknown, -1 - char.astype(np.int64), sym)
+        # at: the place in the pair table of each symbol with the next one in its word.
+        slot = self.slot[char].astype(np.int32)
+        at = np.full(len(char), self.no_pair, np.int32)
+        both = (slot[:-1] >= 0) & (slot[1:] >= 0)
+        at[:-1] = np.where(both, self.direct[np.where(both, slot[:-1] * self.n_slots + slot[1:], 0)], self.no_pair)
+        rare = np.flatnonzero(~both)
+        at[rare] = self._places(sym[rare] * self.n_symbols + sym[rare + 1])
+        at[last] = self.no_pair
+        rank = self.pair_rank[at]
         while len(word):
             least = np.minimum.reduceat(rank, starts)
             if (done := least == NONE).any():
                 in_done = np.repeat(done, lengths)
                 self._emit(word[done], lengths[done], held[in_done], out)
                 go = ~in_done
-                sym, held, rank, at = sym[go], held[go], rank[go], at[go]
+                held, rank, at, last = held[go], rank[go], at[go], last[go]
                 word, lengths, least = word[~done], lengths[~done], least[~done]
                 starts = np.cumsum(lengths) - lengths
                 if not len(word):
                     break
             best = rank == np.repeat(least, lengths)
             # Of touching pairs the first, third, ... of the run: a pair whose left neighbour merges is gone.
-            begins = best & ~np.r_[False, best[:-1]]
-            spot = np.arange(len(best))
-            pick = best & ((spot - np.maximum.accumulate(np.where(begins, spot, 0))) % 2 == 0)
-            merged = held.copy()
-            merged[pick] = self.pair_piece[at[pick]]
-            keep = ~np.r_[False, pick[:-1]]
-            picked = np.add.reduceat(pick.astype(np.int64), starts)
+            pick = np.flatnonzero(best)
+            if (np.diff(pick) == 1).any():
+                begins = np.r_[True, np.diff(pick) != 1]
+                nth = np.arange(len(pick))
+                pick = pick[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0]
+            keep = np.ones(len(held), bool)
+            keep[pick + 1] = False
+            new_held, new_at, new_last = held.copy(), at.copy(), last.copy()
+            new_held[pick], new_last[pick] = self.pair_piece[at[pick]], last[pick + 1]
+            new_held, new_at, new_last = new_held[keep], new_at[keep], new_last[keep]
+            picked = np.bincount(np.searchsorted(starts, pick, "right") - 1, minlength=len(word))
             new_lengths = lengths - picked
-            new_held = merged[keep]
-            new_sym = np.where(new_held < 0, self.unknown, new_held).astype(np.int32)
             new_starts = np.cumsum(new_lengths) - new_lengths
-            new_rank, new_at = self._ranks(new_sym, new_starts + new_lengths - 1)
-            odd = (picked > 1) & (np.minimum.reduceat(new_rank, new_starts) <= least)
+            # Only pairs with a merged symbol have changed.
+            merged = pick - np.arange(len(pick))
+            changed = np.concatenate([merged, merged[merged > 0] - 1])
+            inner = changed[~new_last[changed]]
+            new_at[changed] = self.no_pair
+            a, b = new_held[inner], new_held[inner + 1]
+            known = (a >= 0) & (b >= 0)
+            new_at[inner[known]] = self._places(a[known] * self.n_symbols + b[known])
+            new_rank = self.pair_rank[new_at]
+            odd = picked > 1
+            if odd.any():
+                odd &= np.minimum.reduceat(new_rank, new_starts) <= least
             for k in np.flatnonzero(odd):
                 own = held[starts[k] : starts[k] + lengths[k]].tolist()
                 final = np.array(self._by_heap(own), np.int64)
                 self._emit(word[k : k + 1], np.array([len(final)]), final, out)
             if odd.any():
                 go = ~np.repeat(odd, new_lengths)
-                new_sym, new_held, new_rank, new_at = new_sym[go], new_held[go], new_rank[go], new_at[go]
+                new_held, new_at, new_rank, new_last = new_held[go], new_at[go], new_rank[go], new_last[go]
                 word, new_lengths = word[~odd], new_lengths[~odd]
                 new_starts = np.cumsum(new_lengths) - new_lengths
-            sym, held, rank, at, lengths, starts = new_sym, new_held, new_rank, new_at, new_lengths, new_starts
+            held, rank, at, last, lengths, starts = new_held, new_rank, new_at, new_last, new_lengths, new_starts
         return out
 
     def _emit(self, word: np.ndarray, lengths: np.ndarray, held: np.ndarray, out: list[bytes]) -> None:
@@ -193,14 +220,22 @@ class PieceModel:
         char = chr(-1 - held) if held < 0 else chr(int(np.flatnonzero(self.of_char == held)[0]))
         return self.byte_ids[list(char.encode())]
 
+    def words_of(self, text: str) -> list[str]:
+        """The text's words. One that begins with a space sign or a line feed is as it is; before others there is one space."""
+        if not text:
+            return []
+        if not self.cut_lines or text[0] == " " or "  " in text or SPACE in text:
+            return self.segments(SPACE + text.replace(" ", SPACE))
+        return text.replace("\n", " \n").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split, used = self.cache, [self.words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts], set()
+        cache, split, used = self.cache, [self.words_of(t) for t in texts], set()
         for words in split:
             used.update(words)
         fresh = list(used.difference(cache))
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            cache.update(zip(part, self.merge(part), strict=True))
+            cache.update(zip(part, self.merge([w if w[:1] in (SPACE, "\n") else SPACE + w for w in part]), strict=True))
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
         for w in fresh:
             if len(w) > CACHE_CHARS:
