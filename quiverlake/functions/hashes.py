@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,11 +35,8 @@ def fnv1a_low(text: Column) -> Column:
 def vector_hash(vector: str | Column) -> Column:
     """DJB2 of a vector's components as little-endian 32-bit floats, as an unsigned number in text. Bits of floats are out
     of reach of expressions, so this is an Arrow function."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("string")
+    @F.arrow_udf("string")
     def of(values: pa.Array) -> pa.Array:
         out = []
         for v in values.to_pylist():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: str | None = None
+_LEFT: list = []  # what to remove when this process ends
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,16 +33,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as a table in the shared folder, and read again.
 
     This cuts the lineage: a lost executor costs at most a read of that table. Spark's committer makes sure that
-    a task which runs twice leaves its rows once.
+    a task which runs twice leaves its rows once. The table goes when this process ends.
     """
     path = f"{shared_folder(df.sparkSession)}/quiverlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _LEFT.append(_remover(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remover(spark: SparkSession, path: str):
+    """Removes a folder through Hadoop, so in any store, also after the session has stopped."""
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return lambda: at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    while _LEFT:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            _LEFT.pop()()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove the files that ``df``, which comes from :func:`stored`, reads. For tables that no later plan needs."""
-    context = df.sparkSession.sparkContext
     for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _remover(df.sparkSession, folder)()
