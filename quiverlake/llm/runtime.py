@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import drop_stored, shared_folder, stored  # noqa: F401
+from ..sources.scratch import drop_stored, stored  # noqa: F401
 
 #: Words, as every contract of this package has them: runs of anything but a space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
