@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .runtime import stored
 
 MAGIC, BLOCK = b"QLDAC01\n", 512
-#: Words that a Python worker keeps, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+#: Words and parts of words that a Python worker keeps (about 200 bytes each), and the longest of them in bytes.
+CACHE_WORDS, CACHE_PARTS, CACHE_BYTES = 700_000, 400_000, 64
 #: Up to so many segments (three numbers each), their starts are broadcast.
 BROADCAST_SEGMENTS = 200_000
 SEGMENT = "part int, segment int, first_doc long, tokens long, doc_ids array<long>, doc_lengths array<int>, image binary"
@@ -114,8 +114,12 @@ class Image:
 
 
 # --- texts to ids ---------------------------------------------------------------------------------------------------
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+", "[!-&(-/:-@\\[-`{-~]*"
 #: A word of Latin letters that NFC keeps and that lose nothing in lower case, and ASCII marks without an apostrophe.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+_PLAIN = re.compile(f"({_LETTERS})({_MARKS})").fullmatch
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def _byte_characters() -> dict[int, str]:
@@ -124,25 +128,27 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-class Words:
-    """A tokenizer that never joins words across ASCII white space, so each word is encoded once and kept.
+class Words(dict):
+    """The ids of words, as little-endian 32-bit integers, by the words' bytes: looked up, or made when first met.
 
-    Plain words, letters with ASCII marks after them, go to the library's BPE model as the two parts that the tokenizer
-    cuts them into, lower-cased, and parts are kept too. This holds for tokenizers that normalise with NFC and lower case
-    and cut by runs of letters, single numbers and runs of other marks; ``__init__`` tries it out, and if it doesn't hold, as
-    for all other words, the whole tokenizer encodes the word.
+    For a tokenizer that never joins words across ASCII white space. Plain words, letters with ASCII marks after them, go to
+    the library's BPE model as the two parts that the tokenizer cuts them into, lower-cased, and parts are kept too. This
+    holds for tokenizers that normalise with NFC and lower case and cut by runs of letters, single numbers and runs of
+    other marks; ``__init__`` tries it out, and if it doesn't hold, as for all other words, the whole tokenizer encodes the
+    word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.words, self.parts, self.letters = Tokenizer.from_file(path), {}, {}, _byte_characters()
+        self.tokenizer, self.parts, self.letters = Tokenizer.from_file(path), {}, _byte_characters()
         self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = ["Straße,", "THE!!", "naïve...", "Éß", "a|b", "word", "Ǆx.", "end)."]
         self.by_parts = True
-        same = [self._ids(w.encode()) for w in probe] == [self._whole(w) for w in probe]
+        same = [self[w.encode()] for w in probe] == [self._whole(w) for w in probe]
+        self.clear()
         self.by_parts = same and not any(_PLAIN(t) or _PLAIN("a" + t) for t in added)  # a plain word can't hold one
 
     def _whole(self, word: str) -> bytes:
@@ -151,35 +157,36 @@ class Words:
     def _part(self, part: str) -> bytes:
         spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         tokens = self.model.tokenize(spelt)
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        pack_ids = _PACK[len(tokens)] if len(tokens) < len(_PACK) else struct.Struct(f"<{len(tokens)}I").pack
+        ids = pack_ids(*[t.id for t in tokens])
         if len(part) <= CACHE_BYTES:
             self.parts[part] = ids
         return ids
 
-    def _ids(self, raw: bytes) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
-        plain = self.by_parts and _PLAIN(word)
-        if not plain:
-            return self._whole(word)
-        letters, marks = plain.groups()
-        letters, parts = letters.lower(), self.parts
-        ids = parts.get(letters) or self._part(letters)
-        return ids + (parts.get(marks) or self._part(marks)) if marks else ids
+        if self.by_parts and (plain := _PLAIN(word)):
+            letters, marks = plain.groups()
+            letters, get = letters.lower(), self.parts.get
+            ids = get(letters) or self._part(letters)
+            if marks:
+                ids += get(marks) or self._part(marks)
+        else:
+            ids = self._whole(word)
+        if len(raw) <= CACHE_BYTES:
+            self[raw] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        words, split, used = self.words, [t.encode().split() for t in texts], set()
-        for own in split:
-            used.update(own)
-        fresh = used.difference(words)
-        words.update(zip(fresh, map(self._ids, fresh), strict=True))
-        out = [b"".join(map(words.__getitem__, own)) for own in split]
-        if len(words) > CACHE_WORDS:  # the words of these texts stay, common ones among them
-            self.words = words = {w: words[w] for w in used}
-        if len(self.parts) > CACHE_WORDS:
+        """The ids of each text."""
+        split = [t.encode().split() for t in texts]
+        out = [b"".join(map(self.__getitem__, words)) for words in split]
+        if len(self) > CACHE_WORDS:  # the words of these texts stay, common ones among them
+            kept = {w: self[w] for w in set().union(*split) if w in self}
+            self.clear()
+            self.update(kept)
+        if len(self.parts) > CACHE_PARTS:
             self.parts = {}
-        for w in [w for w in fresh if len(w) > CACHE_BYTES]:
-            words.pop(w, None)
         return out
 
 
@@ -218,8 +225,8 @@ def write(
             return pa.RecordBatch.from_pylist([{"part": part, "segment": k, "first_doc": docs[0], "tokens": tokens, "doc_ids": docs, "doc_lengths": lengths, "image": image}], schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 32):  # few texts at a time stay in the processor's cache
+                piece = batch.slice(at, 32)
                 encoded = words.encode([t or "" for t in piece.column(1).to_pylist()])
                 for doc, raw in zip(piece.column(0).to_pylist(), encoded, strict=True):
                     docs.append(doc)
