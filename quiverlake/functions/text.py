@@ -9,5 +9,4 @@ from pyspark.sql import functions as F
 def tokens(text: Column | str) -> Column:
     """Lower-cased words in order; an empty array for null and for texts without any."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    flat = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

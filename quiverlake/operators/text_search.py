@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.scratch import stored
 
 K1, B = 1.5, 0.75
 
@@ -42,7 +43,8 @@ def query_terms(query: str) -> list[tuple[str, int]]:
 def bm25(docs: DataFrame, query: str, k: int | None = None, id_col: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """id and score of the documents with a word of the query, best first. A word that the query repeats counts as often.
 
-    One pass: each document is reduced to its length and the counts of the query's words, so no postings are shuffled.
+    Texts are read once: each document is reduced to its length and the counts of the query's words, which are kept in a
+    scratch table for the statistics and the scores. No postings are shuffled.
     """
     terms = query_terms(query)
     if not terms:
@@ -52,7 +54,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, id_col: str = "doc_i
         F.col(id_col), F.size(words).alias("len"),
         *[F.size(F.array_remove(words, t)).alias(f"without{i}") for i, (t, _) in enumerate(terms)],
     )
-    counted = counted.select(id_col, "len", *[(F.col("len") - F.col(f"without{i}")).alias(f"tf{i}") for i in range(len(terms))])
+    counted = stored(counted.select(id_col, "len", *[(F.col("len") - F.col(f"without{i}")).alias(f"tf{i}") for i in range(len(terms))]), "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
