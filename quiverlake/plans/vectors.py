@@ -9,6 +9,7 @@ from ..functions import vector as V
 from ..operators import filters as flt
 from ..operators import knn as K
 from ..operators.collection import Collection
+from ..operators.duplicates import duplicates
 from ..operators.quantize import center, per_dimension
 from ..operators.stats import field_values
 from ..sources.tables import read
@@ -175,9 +176,9 @@ def vector_validation(spark, sf):
 @query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 100
 WHERE len(a.embedding) = len(b.embedding) AND len(list_filter(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]) >= 1e-6)) = 0""")
 def exact_duplicates(spark, sf):
-    e = embeddings(spark, sf)
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), (F.col("vec_id") % 100).alias("b")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "b").filter(V.same("va", "vb")).select("a", "b")
+    """Each vector that is a copy of an earlier one, with the first of its class. The SQL pairs ids by a modulo instead,
+    so it gives other rows."""
+    return duplicates(embeddings(spark, sf))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
