@@ -37,7 +37,7 @@ def binary_encode(spark, sf):
 @query(f"SELECT vec_id, list(round(t + bit - 0.5, 5) ORDER BY dim) AS decoded FROM {BITS} x WHERE vec_id < 50 GROUP BY vec_id")
 def binary_decode(spark, sf):
     e, t = embeddings(spark, sf), thresholds(spark, sf)
-    out = Z.binary_decode(Z.binary_encode(e, t).filter("vec_id < 50"), t, DIM)
+    out = Z.binary_decode(Z.binary_encode(e, t), t, DIM)
     return out.select("vec_id", F.transform("decoded", lambda x: F.round(x, 5)).alias("decoded"))
 
 
@@ -68,7 +68,7 @@ def scalar_encode(spark, sf):
 def scalar_decode(spark, sf):
     e = embeddings(spark, sf)
     r = Z.scalar_train(e)
-    return Z.scalar_decode(Z.scalar_encode(e, r).filter("vec_id < 50"), r).select("vec_id", F.transform("decoded", lambda x: F.round(x, 5) + F.lit(0.0)).alias("decoded"))
+    return Z.scalar_decode(Z.scalar_encode(e, r), r).select("vec_id", F.transform("decoded", lambda x: F.round(x, 5) + F.lit(0.0)).alias("decoded"))
 
 
 @query(f"""WITH c AS {CODED}, d AS (SELECT q.vec_id AS qid, e.vec_id, sqrt(sum((q.c - e.c) * (q.c - e.c))) AS d FROM c q JOIN c e USING (dim) WHERE q.vec_id < 5 GROUP BY ALL)

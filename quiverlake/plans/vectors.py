@@ -137,7 +137,7 @@ def recall_at_k(spark, sf):
 @query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5)) AS unit,
   round(list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5) AS norm FROM embeddings WHERE vec_id < 100""")
 def normalize(spark, sf):
-    e = embeddings(spark, sf).filter("vec_id < 100")
+    e = embeddings(spark, sf)
     return e.select("vec_id", F.transform(V.normalize("embedding"), lambda x: F.round(x, 5)).alias("unit"), F.round(V.norm("embedding"), 5).alias("norm"))
 
 
@@ -161,7 +161,7 @@ FROM embeddings a, embeddings b WHERE a.vec_id < 30 AND b.vec_id = a.vec_id + 1"
 def metric_convert(spark, sf):
     """Distances of neighbours by id, turned into other metrics where that needs no vectors."""
     e = embeddings(spark, sf)
-    a = e.filter("vec_id < 30").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), (F.col("vec_id") + 1).alias("b"))
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), (F.col("vec_id") + 1).alias("b"))
     pairs = a.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb")), "b").withColumn("d", V.cosine("va", "vb"))
     return pairs.select("a", "b", F.round("d", 5).alias("cosine"), F.round(V.convert(F.col("d"), "cosine", "ip"), 5).alias("as_ip"), V.convert(F.col("d"), "cosine", "l2").alias("as_l2"))
 

@@ -1,6 +1,9 @@
 """Queries over whole tables: what their SQL, or an earlier form of them, left out."""
 
+import duckdb
 import numpy as np
+import pytest
+from test_entry import rows_of
 
 from quiverlake.operators import duplicates
 from quiverlake.plans import all_queries
@@ -41,3 +44,30 @@ def test_exact_duplicates_meets_every_pair_of_ids(spark, tmp_path):
     v[250], v[7] = v[150], v[3]
     spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {tuple(r) for r in QUERIES["exact_duplicates"](spark, str(tmp_path)).collect()} == {(250, 150), (7, 3)}
+
+
+# --- row-wise queries over all ids: the SQL holds a filter of ids, so without it here -----------------------------------
+FILTERS = {
+    "normalize": " WHERE vec_id < 100",
+    "metric_convert": "a.vec_id < 30 AND ",
+    "sparse_similarities": " WHERE v.vec_id < 50",
+    "binary_decode": " WHERE vec_id < 50",
+    "scalar_decode": " WHERE vec_id < 50",
+    "metadata_coercion": " WHERE event_id < 2000",
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_every_row_is_given(spark, name):
+    sf = "/root/testdata/sf0.01"
+    sql = all_queries()[1][name]
+    assert sql.count(FILTERS[name]) == 1
+    db = duckdb.connect()
+    for table in ("embeddings", "events"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want, cut = db.sql(sql.replace(FILTERS[name], "")), db.sql(sql)
+    df = QUERIES[name](spark, sf)
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows_of(want.columns, want.fetchall())
+    part = rows_of(cut.columns, cut.fetchall())
+    assert len(part) < len(got) and set(part) <= set(got)
