@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,8 @@ def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     """As knn_batch for l2, cosine and ip and any number of queries, by matrix products.
 
     Queries are packed into blocks of about ``block`` rows, and rows into blocks of the same size; each pair of blocks is
-    one product, which keeps its k best. Distances of what is kept are computed again, exactly.
+    one product, which keeps its k best and all that tie with them but for rounding. Distances of these are computed
+    again as knn_batch does, then ordered with ties by id.
     """
     if metric not in ("l2", "cosine", "ip"):
         raise ValueError(f"no matrix form of {metric}")
@@ -70,15 +72,25 @@ def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
             for own, asked in zip(batch.column(0), batch.column(1), strict=True):
                 ids, qids = (x.values.field("id").to_numpy() for x in (own, asked))
                 x, q = (y.values.field("v").flatten().to_numpy().reshape(len(y.values), -1) for y in (own, asked))
+                often, kept = Counter(), []
+                for i in np.argsort(ids, kind="stable"):  # of equal rows, only the k smallest ids can be among the k nearest
+                    often[row := x[i].tobytes()] += 1
+                    if often[row] <= k:
+                        kept.append(i)
+                ids, x = ids[kept], x[kept]
                 guess = q @ x.T
                 guess = {"l2": lambda: (x * x).sum(axis=1) - 2 * guess, "cosine": lambda: -guess, "ip": lambda: -guess}[metric]()
-                m = min(k + 8, len(ids))  # a margin: near ties may come in another order
-                at = np.argpartition(guess, m - 1, axis=1)[:, :m]
-                exact = {"l2": lambda i: np.sqrt(((x[at[i]] - q[i]) ** 2).sum(axis=1)), "cosine": lambda i: 1 - x[at[i]] @ q[i], "ip": lambda i: -(x[at[i]] @ q[i])}[metric]
+                m, nx, nq = min(k, len(ids)), np.linalg.norm(x, axis=1).max(initial=0.0), np.linalg.norm(q, axis=1)
+                # all rows as near as the k-th go on, but for what rounding can have moved the guess or the distance by
+                size = {"l2": lambda: (nx + nq) ** 2, "cosine": lambda: nx * nq + 1, "ip": lambda: nx * nq}[metric]()
+                last = np.partition(guess, m - 1, axis=1)[:, m - 1] + 8 * (x.shape[1] + 2) * np.finfo(float).eps * size
+                added = lambda terms: np.cumsum(terms, axis=1)[:, -1]  # noqa: E731  one by one, as the metrics do: equal to the last bit
+                exact = {"l2": lambda v, w: np.sqrt(added((v - w) ** 2)), "cosine": lambda v, w: 1 - added(v * w), "ip": lambda v, w: -added(v * w)}[metric]
                 for i in range(len(qids)):
-                    d = exact(i)
-                    best = np.lexsort((ids[at[i]], d))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[at[i]][best]), pa.array(d[best])], ["qid", id_col, "distance"])
+                    at = np.flatnonzero(~(guess[i] > last[i]))  # what is no number goes on, too
+                    d = exact(x[at], q[i])
+                    best = np.lexsort((ids[at], d))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[at][best]), pa.array(d[best])], ["qid", id_col, "distance"])
 
     pairs = left.join(right, "b").select("rows", "asked")
     return top(pairs.mapInArrow(nearest, f"qid long, `{id_col}` long, distance double"), k, "qid", F.col("distance"), id_col)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from test_entry import rows_of
 
-from quiverlake.operators import duplicates
+from quiverlake.operators import duplicates, knn
 from quiverlake.plans import all_queries
 
 QUERIES = all_queries()[0]
@@ -71,3 +71,29 @@ def test_every_row_is_given(spark, name):
     assert got == rows_of(want.columns, want.fetchall())
     part = rows_of(cut.columns, cut.fetchall())
     assert len(part) < len(got) and set(part) <= set(got)
+
+
+# --- ties in block products -------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_blocks_break_ties_by_id_however_many_tie(spark, metric):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[rng.permutation(900)[:400]] = v[5]  # one vector 400 times
+    v[::9] = np.roll(np.eye(16)[0], 1)
+    v[1::18] = np.eye(16)[2]  # others at one distance from it
+    v[4::18] = np.eye(16)[7]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 10 = 0 or vec_id < 30").selectExpr("vec_id as qid", "embedding as qv")
+    want = sorted(map(tuple, knn.knn_batch(rows, asked, 10, metric).select("qid", "rk", "vec_id", "distance").collect()))
+    for block in (4_096, 200):
+        assert sorted(map(tuple, knn.knn_blocks(rows, asked, 10, metric, block=block).select("qid", "rk", "vec_id", "distance").collect())) == want
+
+
+def test_blocks_with_distances_that_rounding_makes_equal(spark):
+    v = [[1e8 + i * 1e-9, 0.0] for i in range(60)] + [[float(i), 1e-9 * i] for i in range(60)] + [[1e-30 * i, 0.0] for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 7 = 0").selectExpr("vec_id as qid", "embedding as qv")
+    for metric in ("l2", "cosine", "ip"):
+        a, b = (sorted(map(tuple, f(rows, asked, 5, metric).select("qid", "rk", "vec_id", "distance").collect())) for f in (knn.knn_batch, knn.knn_blocks))
+        assert a == b
