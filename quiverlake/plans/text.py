@@ -54,7 +54,7 @@ def vocab_stats(spark, sf):
 @query(f"""SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 5) AS idf FROM (
   SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(words) AS term FROM {WORDS} x) GROUP BY term), (SELECT count(*) AS n FROM documents) WHERE df > 5""")
 def idf(spark, sf):
-    return text_search.idf(documents(spark, sf)).filter("df > 5").select("term", "df", F.round("idf", 5).alias("idf"))
+    return text_search.idf(documents(spark, sf)).select("term", "df", F.round("idf", 5).alias("idf"))
 
 
 @query(f"SELECT doc_id, len(words) AS len, count(DISTINCT w) AS n_terms FROM (SELECT doc_id, words, unnest(words) AS w FROM {WORDS} x) GROUP BY ALL")

@@ -46,7 +46,7 @@ def test_exact_duplicates_meets_every_pair_of_ids(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["exact_duplicates"](spark, str(tmp_path)).collect()} == {(250, 150), (7, 3)}
 
 
-# --- row-wise queries over all ids: the SQL holds a filter of ids, so without it here -----------------------------------
+# --- queries whose SQL holds a filter, so without it here -------------------------------------------------------------
 FILTERS = {
     "normalize": " WHERE vec_id < 100",
     "metric_convert": "a.vec_id < 30 AND ",
@@ -54,6 +54,7 @@ FILTERS = {
     "binary_decode": " WHERE vec_id < 50",
     "scalar_decode": " WHERE vec_id < 50",
     "metadata_coercion": " WHERE event_id < 2000",
+    "idf": " WHERE df > 5",
 }
 
 
@@ -63,7 +64,7 @@ def test_every_row_is_given(spark, name):
     sql = all_queries()[1][name]
     assert sql.count(FILTERS[name]) == 1
     db = duckdb.connect()
-    for table in ("embeddings", "events"):
+    for table in ("documents", "embeddings", "events"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want, cut = db.sql(sql.replace(FILTERS[name], "")), db.sql(sql)
     df = QUERIES[name](spark, sf)
