@@ -97,7 +97,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rules.with_rules(docs, drop=("text",)).select(
+    return rules.with_rules(docs, drop=("text",), whole=rules.LEARNT_WHOLE, chunk=rules.LEARNT_CHUNK, bad_chunks=rules.LEARNT_BAD_CHUNKS).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
