@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .runtime import stored
 
-#: Up to so many intervals (a pattern of at most ``LONGEST`` characters and two days each), the list is broadcast.
-BROADCAST_INTERVALS, LONGEST = 100_000, 512
+#: Up to so many intervals with so many bytes of patterns in all, the list is broadcast.
+BROADCAST_INTERVALS, BROADCAST_BYTES = 100_000, 51_200_000
 #: Beyond, a pattern's captures are dealt to so many partitions, each with its own copy of the pattern's intervals.
 SALTS = 32
 FOREVER = "9999-12-31"
@@ -35,12 +35,12 @@ def intervals(events: DataFrame) -> DataFrame:
     """pattern, valid_from and valid_to (exclusive) of each time that a pattern was on the list.
 
     ``events`` has pattern, action (add or remove) and day. An add while the pattern is listed, and a remove while it
-    isn't, change nothing; of an add and a remove on one day the remove is last. Events with a null, another action or a
-    pattern over ``LONGEST`` characters are no events. Patterns are compared in lower case, without slashes at the end.
+    isn't, change nothing; of an add and a remove on one day the remove is last. Events with a null, another action or an
+    empty pattern are no events. Patterns are compared in lower case, without slashes at the end.
     """
     clean = F.regexp_replace(F.lower("pattern"), r"/+$", "")
     rows = events.select(clean.alias("pattern"), (F.col("action") == "add").alias("on"), F.col("day").cast("date").alias("day"), "action")
-    rows = rows.filter("action in ('add', 'remove')").filter(F.length("pattern").between(1, LONGEST)).select("pattern", "on", "day").dropna()
+    rows = rows.filter("action in ('add', 'remove')").filter(F.length("pattern") > 0).select("pattern", "on", "day").dropna()
     state = rows.groupBy("pattern", "day").agg(F.min("on").alias("on"))
     order = Window.partitionBy("pattern").orderBy("day")
     turns = state.withColumn("before", F.lag("on", 1, False).over(order)).filter("on != before")
@@ -61,15 +61,15 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     (whether there were any), rule (the longest of them, of equals the first by code point) and listed_on (since when).
 
     A capture with a null URL or day, or a URL without a host, is not blocked. Rows may repeat, and all columns stay, but
-    for those with the names of new ones. Each URL and day is judged once. The intervals are counted first: few are
+    for those with the names of new ones. Each URL and day is judged once. The intervals are counted and measured first: few are
     broadcast; many are joined by pattern and salt, so one busy host spreads over ``SALTS`` partitions.
     """
     spans = stored(intervals(events), "intervals")
-    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("pattern", "/"))) - 1, F.lit(0)).alias("segments")).first()
+    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.size(F.split("pattern", "/"))) - 1, F.lit(0)).alias("segments")).first()
     u, d = F.col(f"`{url}`"), F.col(f"`{fetched}`").cast("date")
     asked = captures.select(u.alias("__url"), d.alias("__day")).dropna().distinct()
     keys = asked.withColumn("pattern", F.explode(patterns("__url", size.segments)))
-    if size.n <= BROADCAST_INTERVALS:
+    if size.n <= BROADCAST_INTERVALS and size.bytes <= BROADCAST_BYTES:
         hits = keys.join(F.broadcast(spans), "pattern")
     else:
         spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
