@@ -38,15 +38,16 @@ def vector_hash(vector: str | Column) -> Column:
 
     @F.arrow_udf("string")
     def of(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values.to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            h = DJB2_SEED
-            for b in np.array(v, "<f4").tobytes():
-                h = (h * DJB2_FACTOR + b) & 0xFFFFFFFFFFFFFFFF
-            out.append(str(h))
+        out = np.full(len(values), None, object)
+        there = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        lengths = np.array(values.value_lengths().to_pylist(), object)
+        for dim in set(lengths[there].tolist()):  # vectors of one length at once: a byte of all of them is one step
+            own = there[lengths[there] == dim]
+            x = np.array(values.take(pa.array(own)).to_pylist(), "<f4").reshape(len(own), dim)
+            h = np.full(len(own), DJB2_SEED, np.uint64)
+            for column in x.view(np.uint8).reshape(len(own), 4 * dim).T:
+                h = h * np.uint64(DJB2_FACTOR) + column
+            out[own] = h.astype(str)
         return pa.array(out, pa.string())
 
     return of(F.col(vector) if isinstance(vector, str) else vector)

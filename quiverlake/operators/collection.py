@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.vector import is_valid
+from ..sources.scratch import stored
 
 
 class EngineError(Exception):
     """With the code of the error's kind."""
 
-    DIMENSION, EXISTS, MISSING, INVALID, QUOTA = 1001, 1101, 1102, 1702, 1801
+    #: The codes that clients know. NOT_FOUND and DUPLICATE are of rows, MISSING and EXISTS of collections.
+    DIMENSION, NOT_FOUND, MISSING, EXISTS, DUPLICATE, SETTING, INVALID = 1001, 1401, 1501, 1502, 1503, 1701, 1702
 
     def __init__(self, code: int, message: str):
         super().__init__(f"{code}: {message}")
@@ -31,30 +36,41 @@ def validate(rows: DataFrame, dim: int, vector: str = "embedding") -> tuple[Data
     return marked.filter("error is null").drop("error"), marked.filter("error is not null")
 
 
-def latest(rows: DataFrame, id_col: str, order: str) -> DataFrame:
-    """The row of each id with the largest ``order``."""
+def _place(rows: DataFrame, order: str | None) -> Column:
+    """What orders the rows of one id: a column, or, so that runs agree, a hash of the row."""
+    return F.col(order) if order else F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()])
+
+
+def latest(rows: DataFrame, id_col: str, order: str | None, first: bool = False) -> DataFrame:
+    """The row of each id with the largest ``order`` (the smallest, if ``first``)."""
     others = [c for c in rows.columns if c != id_col]
-    best = rows.groupBy(id_col).agg(F.max_by(F.struct(*others), F.col(order)).alias("__r"))
+    best = rows.groupBy(id_col).agg((F.min_by if first else F.max_by)(F.struct(*others), _place(rows, order)).alias("__r"))
     return best.select(id_col, *[F.col(f"__r.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
-def upsert(table: DataFrame, new: DataFrame, policy: str = "overwrite", id_col: str = "vec_id") -> DataFrame:
-    """The table with ``new`` (one row for each id). For an id in both: overwrite takes the new row, skip keeps the old,
-    reject raises."""
+def upsert(table: DataFrame, new: DataFrame, policy: str = "overwrite", id_col: str = "vec_id", order: str | None = None) -> DataFrame:
+    """The table with ``new``. For an id in both: overwrite takes the new row, skip keeps the old, reject raises.
+
+    ``new`` may repeat an id: overwrite takes its last row by ``order`` (a column of ``new``; without one, the hash of the
+    row decides), skip its first, reject raises. A column named as ``order`` that the table lacks is not added to it.
+    """
+    if policy not in ("overwrite", "skip", "reject"):
+        raise ValueError(f"no policy {policy}")
+    fits = lambda df: df.select(*table.columns)
     if policy == "reject":
-        if not table.join(new, id_col, "left_semi").isEmpty():
-            raise EngineError(EngineError.EXISTS, "an id exists already")
-        return table.unionByName(new)
+        if not rejected(table, new, id_col).isEmpty():
+            raise EngineError(EngineError.DUPLICATE, "an id exists already, or repeats")
+        return table.unionByName(fits(new))
+    one = fits(latest(new, id_col, order, first=policy == "skip"))
     if policy == "skip":
-        return table.unionByName(new.join(table.select(id_col), id_col, "left_anti"))
-    if policy == "overwrite":
-        return table.join(new.select(id_col), id_col, "left_anti").unionByName(new)
-    raise ValueError(f"no policy {policy}")
+        return table.unionByName(one.join(table.select(id_col), id_col, "left_anti"))
+    return table.join(one.select(id_col), id_col, "left_anti").unionByName(one)
 
 
 def rejected(table: DataFrame, new: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """The new rows that the reject policy does not take."""
-    return new.join(table.select(id_col), id_col, "left_semi")
+    """The new rows that the reject policy does not take: those whose id the table has, or another new row."""
+    taken = table.select(id_col).union(new.groupBy(id_col).count().filter("count > 1").select(id_col))
+    return new.join(taken, id_col, "left_semi")
 
 
 def delete(table: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -102,14 +118,46 @@ def dedup_ops(feed: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def batch_metrics(feed: DataFrame, batch: int = 1_000) -> DataFrame:
-    """Batches of ``batch`` operations in order of seq (dense from 0): operations, batches, mean size and the percentage of
-    writes that batching saves."""
-    per = feed.groupBy(F.floor(F.col("seq") / batch).alias("b")).agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("ops"), F.count("*").alias("batches")).select(
-        "ops", "batches", (F.col("ops") / F.col("batches")).alias("avg_batch_size"), ((1 - F.col("batches") / F.col("ops")) * 100).alias("reduction_ratio")
+    """Batches of ``batch`` operations in order of arrival: operations, batches, mean size and the percentage of writes that
+    batching saves. Gaps between sequence numbers make no batch smaller."""
+    batches = F.ceil(F.col("ops") / batch)
+    return feed.agg(F.count("*").alias("ops")).select(
+        "ops", batches.alias("batches"), (F.col("ops") / batches).alias("avg_batch_size"), ((1 - batches / F.col("ops")) * 100).alias("reduction_ratio")
     )
 
 
+def flushes(feed: DataFrame, by: str, seq: str = "seq", ts: str = "ts", batch: int = 1_000, seconds: float = 60.0) -> DataFrame:
+    """What each writer's buffer flushes: ``by``, batch (from 0), n, first and last (seq), and reason: size, time, or open for
+    what is left at the end.
+
+    A buffer flushes when it holds ``batch`` operations, and before an operation that comes ``seconds`` or more after its
+    first one. Each decision depends on those before it, so a writer is one ordered stream of rows; nothing is collected.
+    """
+    schema = to_arrow_schema(StructType([StructField(by, feed.schema[by].dataType), *StructType.fromDDL("batch long, n long, first long, last long, reason string")]))
+    rows = feed.select(by, F.col(seq).cast("long"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(by).sortWithinPartitions(by, seq)
+
+    def fold(batches):
+        own, k, held = None, 0, []  # held: n, first, last, microseconds of the first
+        say = lambda reason: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((own, k, *held[:3], reason), schema, strict=True)], schema=schema)
+        for part in batches:
+            for writer, at, us in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if writer != own:
+                    if held:
+                        yield say("open")
+                    own, k, held = writer, 0, []
+                if held and us - held[3] >= seconds * 1e6:
+                    yield say("time")
+                    k, held = k + 1, []
+                held = [held[0] + 1, held[1], at, held[3]] if held else [1, at, at, us]
+                if held[0] == batch:
+                    yield say("size")
+                    k, held = k + 1, []
+        if held:
+            yield say("open")
+
+    return rows.mapInArrow(fold, from_arrow_schema(schema))
+
+
 # --- compaction -----------------------------------------------------------------------------------------------------
 def compact(buffer: DataFrame, tombstones: DataFrame, now_ms: int, ttl_secs: int | None, id_col: str = "id") -> DataFrame:
     """The entries (id, inserted_ms, ...) that are neither expired nor deleted. Ages are whole seconds."""
@@ -129,14 +177,23 @@ def cleanup_tombstones(tombstones: DataFrame, cutoff: int) -> DataFrame:
     return tombstones.filter(F.col("ts") > cutoff)
 
 
+def needs_compaction(entries: int, limit: int = 50_000) -> bool:
+    return entries >= limit
+
+
 def buffer_batches(rows: DataFrame, order: str, capacity: int = 10_000) -> DataFrame:
-    """Adds ``batch``: which filling of a buffer of ``capacity`` a row falls in. Ranks come from sums over the ranges that a
-    sort by ``order`` leaves, not from one global window."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    """Adds ``batch``: which filling of a buffer of ``capacity`` a row falls in, by ``order`` and then by a hash of the row.
+
+    The rows are dealt out by ranges once, and written with their place in their range; the ranges' sizes are counted from
+    that table (one row for each range), so both mean the same ranges, and there is no global window.
+    """
+    place = [F.col(order), F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()])]
+    ranged = rows.drop("batch").repartitionByRange(*place).sortWithinPartitions(*place).withColumn("__m", F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranges").withColumn("__p", F.shiftright("__m", 33))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.withColumn("__r", own).join(F.broadcast(before), "__p").withColumn("batch", F.floor((F.col("__before") + F.col("__r") - 1) / capacity)).drop("__p", "__r", "__before")
+    own = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), "__p").withColumn("batch", F.floor((F.col("__before") + own) / capacity)).drop("__p", "__m", "__before")
 
 
 # --- snapshots ------------------------------------------------------------------------------------------------------

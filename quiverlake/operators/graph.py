@@ -10,10 +10,10 @@ from .knn import knn_blocks, top
 
 
 def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """src, dst and distance: the m nearest of each row, itself among them and then dropped. Block products, not pairs of
-    rows, and only what is kept is shuffled."""
-    near = knn_blocks(rows, rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")), m, "l2", id_col, vector)
-    return near.filter(F.col("qid") != F.col(id_col)).select(F.col("qid").alias("src"), F.col(id_col).alias("dst"), "distance")
+    """src, dst and distance: each row's m nearest less itself, so the m - 1 nearest others, however many are equal to it.
+    Block products, not pairs of rows, and only what is kept is shuffled."""
+    near = knn_blocks(rows, rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")), m - 1, "l2", id_col, vector, skip_own=True)
+    return near.select(F.col("qid").alias("src"), F.col(id_col).alias("dst"), "distance")
 
 
 def degrees(graph: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,10 @@ MAX_QUERIES = 20_000
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """id and distance of the k nearest rows to one vector, ties by id. ``where`` is applied before anything is computed,
-    so it reaches the scan."""
+    so it reaches the scan. A row without a distance (a null vector, one that holds a null, or of another length) is none."""
     rows = rows if where is None else rows.filter(where)
     distance = metric_of(metric)(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    return rows.select(id_col, distance.alias("distance")).orderBy("distance", id_col).limit(k)
+    return rows.select(id_col, distance.alias("distance")).filter("distance is not null").orderBy("distance", id_col).limit(k)
 
 
 def _few(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
@@ -35,10 +36,11 @@ def _few(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """qid, rk (from 1), id and distance of the k nearest rows to each of a few queries (qid, qv).
 
-    The queries are counted, then broadcast; each task keeps its k best of a query before the shuffle.
+    The queries are counted, then broadcast; each task keeps its k best of a query before the shuffle. Rows without a
+    distance to a query are no neighbours of it.
     """
     distance = metric_of(metric)(F.col(vector), F.col("qv"))
-    pairs = rows.select(id_col, vector).crossJoin(_few(queries.select("qid", "qv"))).select("qid", id_col, distance.alias("distance"))
+    pairs = rows.select(id_col, vector).crossJoin(_few(queries.select("qid", "qv"))).select("qid", id_col, distance.alias("distance")).filter("distance is not null")
     return top(pairs, k, "qid", F.col("distance"), id_col)
 
 
@@ -53,47 +55,129 @@ def in_range(rows: DataFrame, queries: DataFrame, radius: float, metric: str = "
     return rows.select(id_col, vector).crossJoin(_few(queries.select("qid", "qv"))).select("qid", id_col, distance.alias("distance")).filter(F.col("distance") <= radius)
 
 
-def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, k: int) -> DataFrame:
+    """dim, part, ids and vs (one vector after the other): rows (id, v) as they are read, ``size`` together. Of equal vectors
+    only the k smallest ids of a block can be among the k nearest, so the others of the block are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                own = batch.slice(at, size)
+                ids, v = own.column(0).to_numpy(), own.column(1)
+                lengths, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
+                ends = np.cumsum(lengths)
+                for dim in np.unique(lengths).tolist():
+                    mine = np.flatnonzero(lengths == dim)
+                    x = flat[(ends[mine] - dim)[:, None] + np.arange(dim)] if dim else np.zeros((len(mine), 0))
+                    often, kept = Counter(), []
+                    for i in np.argsort(ids[mine], kind="stable"):
+                        often[row := x[i].tobytes()] += 1
+                        if often[row] <= k:
+                            kept.append(i)
+                    part += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), pa.array([ids[mine[kept]]], pa.list_(pa.int64())), pa.array([x[kept].ravel()], pa.list_(pa.float64()))], ["dim", "part", "ids", "vs"])
+
+    return rows.mapInArrow(pack, "dim int, part int, ids array<long>, vs array<double>")
+
+
+class _Best:
+    """The k nearest so far of a block of queries, while blocks of rows go by."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_own: bool):
+        self.qids, self.q, self.k, self.metric, self.skip_own = qids, q, k, metric, skip_own
+        self.norm = np.linalg.norm(q, axis=1)
+        self.who, self.ids, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.last = np.full(len(q), np.inf)
+
+    def _exact(self, i: np.ndarray, v: np.ndarray) -> np.ndarray:
+        w = self.q[i]
+        added = lambda terms: np.cumsum(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))  # noqa: E731  one by one, as the metrics do: equal to the last bit
+        return {"l2": lambda: np.sqrt(added((v - w) ** 2)), "cosine": lambda: 1 - added(v * w), "ip": lambda: -added(v * w)}[self.metric]()
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        guess = self.q @ x.T
+        guess = (x * x).sum(axis=1) - 2 * guess if self.metric == "l2" else -guess
+        nx, own = np.linalg.norm(x, axis=1).max(initial=0.0), self.norm**2
+        # what can have moved the guess or the distance by rounding
+        size = {"l2": lambda: (nx + self.norm) ** 2, "cosine": lambda: nx * self.norm + 1, "ip": lambda: nx * self.norm}[self.metric]()
+        slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps * size
+        bound = {"l2": lambda: self.last**2 - own, "cosine": lambda: self.last - 1, "ip": lambda: self.last}[self.metric]()
+        need = self.k + self.skip_own
+        if len(ids) >= need:
+            bound = np.fmin(bound, np.partition(guess, need - 1, axis=1)[:, need - 1])
+        bound = np.where(np.isnan(bound), np.inf, bound) + 2 * slack
+        step = max(1, 65_536 // max(len(ids), 1))
+        for a in range(0, len(self.q), step):
+            i, j = np.nonzero(~(guess[a : a + step] > bound[a : a + step, None]))  # what is no number goes on, too
+            i += a
+            if self.skip_own:
+                other = ids[j] != self.qids[i]
+                i, j = i[other], j[other]
+            if len(i):
+                self._merge(i, ids[j], self._exact(i, x[j]))
+
+    def _merge(self, i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        touched = np.zeros(len(self.q), bool)
+        touched[i] = True
+        old = touched[self.who]
+        who, ids, d = np.r_[self.who[old], i], np.r_[self.ids[old], ids], np.r_[self.d[old], d]
+        order = np.lexsort((ids, d, who))
+        who, ids, d = who[order], ids[order], d[order]
+        turn = np.arange(len(who)) - np.searchsorted(who, who)
+        top = turn < self.k
+        full = turn == self.k - 1
+        self.last[who[full]] = d[full]
+        self.who, self.ids, self.d = np.r_[self.who[~old], who[top]], np.r_[self.ids[~old], ids[top]], np.r_[self.d[~old], d[top]]
+
+
+def knn_blocks(
+    rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
+    block: int = 1_024, skip_own: bool = False,
+) -> DataFrame:
     """As knn_batch for l2, cosine and ip and any number of queries, by matrix products.
 
-    Queries are packed into blocks of about ``block`` rows, and rows into blocks of the same size; each pair of blocks is
-    one product, which keeps its k best and all that tie with them but for rounding. Distances of these are computed
-    again as knn_batch does, then ordered with ties by id.
+    Rows are packed into blocks where they are read, queries into groups of about ``block``. A task keeps the k best of one
+    group while row blocks stream past it, one product each, so its memory and what it returns do not grow with the rows. A
+    group is dealt to several tasks, each with a share of the row blocks, only where there are fewer groups than cores.
+    What may be among the k best but for rounding is computed again as knn_batch does, then ordered with ties by id.
+
+    Null ids, and vectors that are null or hold a null, take no part; only vectors of one length meet. Query ids are unique.
+    With ``skip_own`` a row with the query's own id is no neighbour of it.
     """
     if metric not in ("l2", "cosine", "ip"):
         raise ValueError(f"no matrix form of {metric}")
-    pack = lambda df, i, v, n: df.select(F.pmod(F.xxhash64(i), F.lit(n)).alias("b"), F.struct(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).alias("x")).groupBy("b").agg(F.collect_list("x").alias("x"))
-    n_rows, n_queries = (max(1, -(-df.count() // block)) for df in (rows, queries))
-    left = pack(rows, id_col, vector, n_rows).withColumnsRenamed({"x": "rows"})
-    right = pack(queries, "qid", "qv", n_queries).withColumnRenamed("x", "asked").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
+    spark = rows.sparkSession
+    whole = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null)")
+    rows, asked = whole(rows, id_col, vector), whole(queries, "qid", "qv")
+    groups = max(1, -(-asked.count() // block))
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(1, -(-2 * cores // groups))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    asked = asked.select("dim", "grp", each(salts).alias("salt"), F.lit(0).alias("kind"), F.col("x.id").alias("ids"), F.flatten("x.v").alias("vs"))
+    packed = _blocks(rows, block, k + skip_own).select("dim", each(groups).alias("grp"), F.pmod("part", F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "ids", "vs")
+    tasks = max(min(groups * salts, 4 * cores), 1)
+    dealt = asked.union(packed).repartition(tasks, "dim", "grp", "salt").sortWithinPartitions("dim", "grp", "salt", "kind")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = best = None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(best.qids[best.who]), pa.array(best.ids), pa.array(best.d)], ["qid", id_col, "distance"])
         for batch in batches:
-            for own, asked in zip(batch.column(0), batch.column(1), strict=True):
-                ids, qids = (x.values.field("id").to_numpy() for x in (own, asked))
-                x, q = (y.values.field("v").flatten().to_numpy().reshape(len(y.values), -1) for y in (own, asked))
-                often, kept = Counter(), []
-                for i in np.argsort(ids, kind="stable"):  # of equal rows, only the k smallest ids can be among the k nearest
-                    often[row := x[i].tobytes()] += 1
-                    if often[row] <= k:
-                        kept.append(i)
-                ids, x = ids[kept], x[kept]
-                guess = q @ x.T
-                guess = {"l2": lambda: (x * x).sum(axis=1) - 2 * guess, "cosine": lambda: -guess, "ip": lambda: -guess}[metric]()
-                m, nx, nq = min(k, len(ids)), np.linalg.norm(x, axis=1).max(initial=0.0), np.linalg.norm(q, axis=1)
-                # all rows as near as the k-th go on, but for what rounding can have moved the guess or the distance by
-                size = {"l2": lambda: (nx + nq) ** 2, "cosine": lambda: nx * nq + 1, "ip": lambda: nx * nq}[metric]()
-                last = np.partition(guess, m - 1, axis=1)[:, m - 1] + 8 * (x.shape[1] + 2) * np.finfo(float).eps * size
-                added = lambda terms: np.cumsum(terms, axis=1)[:, -1]  # noqa: E731  one by one, as the metrics do: equal to the last bit
-                exact = {"l2": lambda v, w: np.sqrt(added((v - w) ** 2)), "cosine": lambda v, w: 1 - added(v * w), "ip": lambda v, w: -added(v * w)}[metric]
-                for i in range(len(qids)):
-                    at = np.flatnonzero(~(guess[i] > last[i]))  # what is no number goes on, too
-                    d = exact(x[at], q[i])
-                    best = np.lexsort((ids[at], d))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[at][best]), pa.array(d[best])], ["qid", id_col, "distance"])
-
-    pairs = left.join(right, "b").select("rows", "asked")
-    return top(pairs.mapInArrow(nearest, f"qid long, `{id_col}` long, distance double"), k, "qid", F.col("distance"), id_col)
+            for r in range(batch.num_rows):
+                dim, grp, salt, kind = (batch.column(c)[r].as_py() for c in range(4))
+                ids, x = batch.column(4)[r].values.to_numpy(), batch.column(5)[r].values.to_numpy()
+                x = x.reshape(len(ids), dim)
+                if not kind:
+                    if best is not None:
+                        yield done()
+                    key, best = (dim, grp, salt), _Best(ids, x, k, metric, skip_own)
+                elif key == (dim, grp, salt):  # else no query has this length
+                    best.add(ids, x)
+        if best is not None:
+            yield done()
+
+    return top(dealt.mapInArrow(nearest, f"qid long, `{id_col}` long, distance double"), k, "qid", F.col("distance"), id_col)
 
 
 def merge_layers(layers: list[DataFrame], k: int, id_col: str = "vec_id") -> DataFrame:

@@ -108,6 +108,7 @@ def admission(requests: DataFrame, limit: Column | int) -> DataFrame:
     limit adds nothing, and use does not go below 0. Each decision depends on those before it, so a tenant is one ordered
     stream of rows; nothing is collected."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
     rows = requests.select("tenant", "seq", F.col("delta").cast("long"), (F.lit(limit) if isinstance(limit, int) else limit).cast("long").alias("limit"))
     dealt = rows.repartition("tenant").sortWithinPartitions("tenant", "seq")
@@ -129,8 +130,8 @@ def admission(requests: DataFrame, limit: Column | int) -> DataFrame:
         if n != [0, 0]:
             yield done()
 
-    schema = pa.schema([("tenant", pa.int64()), ("accepted", pa.int64()), ("rejected", pa.int64()), ("used", pa.int64())])
-    return dealt.mapInArrow(fold, "tenant long, accepted long, rejected long, used long")
+    schema = pa.schema([to_arrow_schema(rows.schema).field("tenant"), ("accepted", pa.int64()), ("rejected", pa.int64()), ("used", pa.int64())])
+    return dealt.mapInArrow(fold, from_arrow_schema(schema))
 
 
 def newest(audit: DataFrame, n: int, by: str, seq: str) -> DataFrame:

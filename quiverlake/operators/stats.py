@@ -14,10 +14,13 @@ def trace_stats(traces: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def percentiles(traces: DataFrame, by: str, value: str) -> DataFrame:
-    """p50 and p99 of each group by rank: the places n / 2 and ceil(0.99 n), from 0, at most n - 1."""
+    """p50 and p99 of each group by rank: the places n / 2 and ceil(0.99 n), from 0, at most n - 1.
+
+    Values are counted first, so what is ordered within a group is its distinct values, not its rows; nulls are no values."""
+    counts = traces.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(by)
-    ranked = traces.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda place: F.max(F.when(F.col("r") == place, F.col(value)))
+    ranked = counts.select(by, value, F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     return ranked.groupBy(by).agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.ceil(F.col("n") * 0.99), F.col("n") - 1)).alias("p99"))
 
 

@@ -15,17 +15,20 @@ _LEFT: list = []  # what to remove when this process ends
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset (tests, local mode), a folder of this process,
-    which is also made the checkpoint folder and goes when the process ends."""
+    """The cluster's ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given. Where both are unset, in
+    local mode (as in tests), a folder of this process, which is also made the checkpoint folder and goes when the process
+    ends; on a cluster that is an error, as its executors would write to their own disks."""
     global _OWN_FOLDER
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN_FOLDER is None:
         _OWN_FOLDER = tempfile.mkdtemp(prefix="quiverlake-")
         atexit.register(shutil.rmtree, _OWN_FOLDER, True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_OWN_FOLDER)
+    context.setCheckpointDir(f"file://{_OWN_FOLDER}")
     return f"file://{_OWN_FOLDER}"
 
 

@@ -216,7 +216,7 @@ def test_upsert_policies(spark):
     assert got("overwrite") == [(1, "a"), (2, "c"), (3, "d")] and got("skip") == [(1, "a"), (2, "b"), (3, "d")]
     with pytest.raises(C.EngineError) as e:
         C.upsert(old, new, "reject")
-    assert e.value.code == C.EngineError.EXISTS
+    assert e.value.code == C.EngineError.DUPLICATE
     with pytest.raises(ValueError):
         C.upsert(old, new, "other")
 
