@@ -99,9 +99,11 @@ def op_dedup(spark, sf):
     return C.dedup_ops(feed(spark, sf))
 
 
-@query(f"SELECT ops::BIGINT AS ops, batches, ops / batches AS avg_batch_size, (1 - batches / ops) * 100 AS reduction_ratio FROM (SELECT sum(n) AS ops, count(*) AS batches FROM (SELECT seq // 1000 AS b, count(*) AS n FROM {FEED} f GROUP BY b))")
+@query(f"""SELECT ops::BIGINT AS ops, batches, ops / batches AS avg_batch_size, (1 - batches / ops) * 100 AS reduction_ratio FROM (
+  SELECT sum(n) AS ops, count(*) AS batches FROM (SELECT b, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY seq) - 1) // 1000 AS b FROM {FEED} f WHERE op <> 'insert') GROUP BY b))""")
 def wal_batch_metrics(spark, sf):
-    return C.batch_metrics(feed(spark, sf))
+    """Of a feed with gaps between its sequence numbers."""
+    return C.batch_metrics(feed(spark, sf).filter("op <> 'insert'"))
 
 
 @query(f"SELECT id, arg_max(op, seq) AS op, max(seq) AS seq FROM {FEED} f GROUP BY id")
@@ -109,9 +111,26 @@ def latest_wins(spark, sf):
     return C.latest(feed(spark, sf), "id", "seq").select("id", "op", "seq")
 
 
-@query("SELECT batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 3000 AS batch FROM events) GROUP BY batch")
+@query("SELECT batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last, max(length(props)) AS longest FROM (SELECT event_id, props, (row_number() OVER (ORDER BY event_id) - 1) // 3000 AS batch FROM events) GROUP BY batch")
 def buffer_batches(spark, sf):
-    return C.buffer_batches(events(spark, sf).select("event_id"), "event_id", 3000).groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    """Whole rows, not their order alone."""
+    out = C.buffer_batches(events(spark, sf), "event_id", 3000)
+    return out.groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.max(F.length("props")).cast("long").alias("longest"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_type AS writer, event_id AS seq, ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+f(writer, i, seq, batch, held, began) AS (
+  SELECT writer, i, seq, 0::BIGINT, 1::BIGINT, ts FROM r WHERE i = 1
+  UNION ALL
+  SELECT f.writer, r.i, r.seq, CASE WHEN held = 50 OR r.ts - began >= INTERVAL 2 HOUR THEN batch + 1 ELSE batch END,
+    CASE WHEN held = 50 OR r.ts - began >= INTERVAL 2 HOUR THEN 1 ELSE held + 1 END, CASE WHEN held = 50 OR r.ts - began >= INTERVAL 2 HOUR THEN r.ts ELSE began END
+  FROM f JOIN r ON r.writer = f.writer AND r.i = f.i + 1),
+b AS (SELECT writer, batch, count(*) AS n, min(seq) AS first, max(seq) AS last, max(batch) OVER (PARTITION BY writer) AS final FROM f GROUP BY writer, batch)
+SELECT writer, batch, n, first, last, CASE WHEN n = 50 THEN 'size' WHEN batch < final THEN 'time' ELSE 'open' END AS reason FROM b""")
+def wal_flushes(spark, sf):
+    """Batches that close at 50 operations or after two hours."""
+    rows = events(spark, sf).select(F.col("event_type").alias("writer"), F.col("event_id").alias("seq"), "ts")
+    return C.flushes(rows, "writer", batch=50, seconds=7200)
 
 
 NOW, TTL = 10_000_000, 6_000
@@ -185,7 +204,7 @@ def crash_recovery(spark, sf):
     return recovery_plan(_snaps(spark, sf), events(spark, sf).select(F.col("event_id").alias("seq")))
 
 
-@query("SELECT event_id, coalesce(props ->> 'k', 'null') AS k, len(json_keys(props))::INTEGER AS n FROM events WHERE event_id < 2000")
+@query("SELECT event_id, coalesce(props ->> 'k', 'null') AS k, len(json_keys(props))::INTEGER AS n FROM events")
 def metadata_coercion(spark, sf):
     """JSON metadata as stored text."""
     m = metadata_text(F.col("props"))
@@ -331,8 +350,8 @@ def audit_recent(spark, sf):
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
-EDGES = """(SELECT src, dst, d AS distance FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b
-  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= {m}) WHERE src <> dst)"""
+EDGES = """(SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= {m} - 1)"""
 
 
 @query(f"SELECT src, dst, round(distance, 5) AS distance FROM {EDGES.format(m=9)} e")
@@ -361,7 +380,7 @@ def graph_stats(spark, sf):
     return G.statistics(G.edges(e, 9), e.count()).withColumns({"density": F.round("density", 6), "mean_length": F.round("mean_length", 5)})
 
 
-HALF = EDGES.replace("FROM embeddings a, embeddings b", "FROM embeddings a, embeddings b WHERE a.vec_id % 2 = {r} AND b.vec_id % 2 = {r}")
+HALF = EDGES.replace("a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id AND a.vec_id % 2 = {r} AND b.vec_id % 2 = {r}")
 
 
 @query(f"""SELECT src, dst, round(distance, 5) AS distance FROM (SELECT src, dst, min(distance) AS distance FROM (
@@ -378,9 +397,9 @@ def layer_distribution(spark, sf):
     return G.layers(embeddings(spark, sf))
 
 
-@query("SELECT chunk, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 128 AS chunk FROM embeddings) GROUP BY chunk")
+@query("SELECT chunk, count(*) AS n, min(vec_id) AS first, sum(label)::BIGINT AS labels FROM (SELECT vec_id, label, (row_number() OVER (ORDER BY vec_id) - 1) // 128 AS chunk FROM embeddings) GROUP BY chunk")
 def subgraph_chunks(spark, sf):
-    return G.chunks(embeddings(spark, sf).select("vec_id"), 128).groupBy("chunk").agg(F.count("*").alias("n"))
+    return G.chunks(embeddings(spark, sf), 128).groupBy("chunk").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.sum("label").alias("labels"))
 
 
 @query(f"SELECT 0 AS layer, src AS node, list(dst ORDER BY dst) AS neighbours FROM {EDGES.format(m=5)} e GROUP BY src")

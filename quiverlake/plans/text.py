@@ -52,7 +52,7 @@ def vocab_stats(spark, sf):
 
 
 @query(f"""SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 5) AS idf FROM (
-  SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(words) AS term FROM {WORDS} x) GROUP BY term), (SELECT count(*) AS n FROM documents) WHERE df > 5""")
+  SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(words) AS term FROM {WORDS} x) GROUP BY term), (SELECT count(*) AS n FROM documents)""")
 def idf(spark, sf):
     return text_search.idf(documents(spark, sf)).select("term", "df", F.round("idf", 5).alias("idf"))
 
@@ -79,7 +79,7 @@ def _sparse_pairs(spark, sf):
     return a.join(s.select(F.col("doc_id").alias("b"), F.col("sparse").alias("sb")), "b")
 
 
-@query(f"""WITH s AS {LONG}, p AS (SELECT v.vec_id AS a, v.vec_id + 7 AS b FROM embeddings v WHERE v.vec_id < 50),
+@query(f"""WITH s AS {LONG}, p AS (SELECT v.vec_id AS a, v.vec_id + 7 AS b FROM embeddings v),
 m AS (SELECT doc_id, sqrt(sum(x * x)) AS m, count(*) AS n FROM s GROUP BY doc_id),
 d AS (SELECT p.a, p.b, sum(x.x * y.x) AS dot, count(*) AS both FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b AND y.dim = x.dim GROUP BY ALL)
 SELECT p.a, p.b, round(coalesce(dot, 0), 5) AS dot, round(coalesce(coalesce(dot, 0) / (ma.m * mb.m), 0), 5) AS cosine,

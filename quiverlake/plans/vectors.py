@@ -85,6 +85,17 @@ def knn_blocks_ip(spark, sf):
     return shown(K.knn_blocks(e, asked, 10, "ip"))
 
 
+@query(knn_sql("list_distance(v, qv)", k=10, rows="(SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: (vec_id % 7)::DOUBLE) AS v FROM embeddings WHERE vec_id % 11 <> 0)",
+               queries="(SELECT vec_id AS qid, list_transform(embedding::DOUBLE[], lambda x: (vec_id % 4)::DOUBLE) AS qv FROM embeddings WHERE vec_id % 5 = 0)"))
+def knn_blocks_ties(spark, sf):
+    """Seven vectors, each many times, and rows with a null vector or component: ties go by id, nulls take no part."""
+    e = embeddings(spark, sf)
+    flat = lambda n: F.transform("embedding", lambda x: (F.col("vec_id") % n).cast("double"))
+    odd = F.when(F.col("vec_id") % 22 == 0, F.lit(None)).when(F.col("vec_id") % 11 == 0, F.array(F.lit(None).cast("double"))).otherwise(flat(7))
+    asked = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), flat(4).alias("qv"))
+    return shown(K.knn_blocks(e.select("vec_id", odd.alias("embedding")), asked, 10))
+
+
 @query(f"SELECT qid, vec_id, round(list_distance(e.embedding::DOUBLE[], qv), 5) AS distance FROM embeddings e, {Q} q WHERE list_distance(e.embedding::DOUBLE[], qv) <= 1.1")
 def knn_range(spark, sf):
     e = embeddings(spark, sf)
@@ -135,7 +146,7 @@ def recall_at_k(spark, sf):
 
 
 @query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5)) AS unit,
-  round(list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5) AS norm FROM embeddings WHERE vec_id < 100""")
+  round(list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5) AS norm FROM embeddings""")
 def normalize(spark, sf):
     e = embeddings(spark, sf)
     return e.select("vec_id", F.transform(V.normalize("embedding"), lambda x: F.round(x, 5)).alias("unit"), F.round(V.norm("embedding"), 5).alias("norm"))
@@ -157,7 +168,7 @@ def dimension_stats(spark, sf):
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine,
   CASE WHEN 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) BETWEEN -1 AND 1 THEN round(1 - (1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) END AS as_ip, NULL::DOUBLE AS as_l2
-FROM embeddings a, embeddings b WHERE a.vec_id < 30 AND b.vec_id = a.vec_id + 1""")
+FROM embeddings a, embeddings b WHERE b.vec_id = a.vec_id + 1""")
 def metric_convert(spark, sf):
     """Distances of neighbours by id, turned into other metrics where that needs no vectors."""
     e = embeddings(spark, sf)
@@ -173,14 +184,24 @@ def vector_validation(spark, sf):
     return embeddings(spark, sf).select(V.is_valid(v).alias("ok")).agg(F.count("*").alias("total"), F.count_if("ok").alias("valid"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 100
-WHERE len(a.embedding) = len(b.embedding) AND len(list_filter(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]) >= 1e-6)) = 0""")
+SAME = "len(a.embedding) = len(b.embedding) AND len(list_filter(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]) >= 1e-6)) = 0"
+
+
+@query(f"SELECT a.vec_id AS a, min(b.vec_id) AS b FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND {SAME} GROUP BY a.vec_id")
 def exact_duplicates(spark, sf):
-    """Each vector that is a copy of an earlier one, with the first of its class. The SQL pairs ids by a modulo instead,
-    so it gives other rows."""
+    """Each vector that is a copy of an earlier one, with the first of its class."""
     return duplicates(embeddings(spark, sf))
 
 
+@query(f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: round(x + vec_id % 7)) ELSE embedding END AS embedding FROM embeddings),
+t AS (SELECT vec_id, list_transform(embedding, lambda x: round(x)) AS embedding FROM e WHERE vec_id % 3 = 0)
+SELECT a.vec_id AS a, min(b.vec_id) AS b FROM t a JOIN t b ON b.vec_id < a.vec_id AND {SAME} GROUP BY a.vec_id""")
+def repeated_vectors(spark, sf):
+    """The same over vectors that do repeat: components rounded to whole numbers, of every third row."""
+    v = F.transform("embedding", lambda x: F.round(x + (F.col("vec_id") % 7).cast("float")))
+    return duplicates(embeddings(spark, sf).filter("vec_id % 3 = 0").select("vec_id", v.alias("embedding")))
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6""")
 def near_duplicates_in_label(spark, sf):
