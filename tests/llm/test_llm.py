@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quiverlake.llm import chat, components, mixing, pieces, quality, queries, rules, secrets, simhash, token_store, topk, urls
+from quiverlake.llm import chat, components, mixing, pieces, quality, queries, rules, secrets, simhash, token_store, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -298,43 +298,6 @@ def test_url_history(spark, monkeypatch, few):
     assert urls.judge(captures, listed.limit(0)).filter("blocked").count() == 0
 
 
-# --- 7: top-k ------------------------------------------------------------------------------------------------------
-def brute_top(queries_, rows, k):
-    out = []
-    for q, v in queries_:
-        ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
-    return sorted(out)
-
-
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 300)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
-    rng = np.random.default_rng(7)
-    rows = [(int(i), [int(x) for x in v]) for i, v in enumerate(rng.integers(-64, 64, (2000, 8)))]
-    rows += [(5000 + i, rows[3][1]) for i in range(900)] + [(9000 + i, [1, 2]) for i in range(3)] + [(9999, []), (9998, [])]
-    asked = [r for r in rows if r[0] % 50 == 0] + [(9000, [1, 2]), (9999, [])]
-    table = lambda r, c: spark.createDataFrame(r, f"{c} long, vector array<long>")
-    got = topk.top_k(table(asked + [asked[0], (None, [1] * 8), (4, None)], "query_id"), table(rows + [(None, [1] * 8), (1, None)], "vec_id"), 20)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top(dict(asked).items(), rows, 20)
-
-
-def test_top_k_repeated_rows_and_large_numbers(spark):
-    big = (1 << 28) - 1
-    rows = [(1, [big, big])] * 3 + [(2, [-big, big]), (3, [0, 1])]
-    table = lambda r, c: spark.createDataFrame(r, f"{c} long, vector array<long>")
-    got = topk.top_k(table([(1, [big, big]), (2, [-big, big])], "query_id"), table(rows, "vec_id"), 4)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top([(1, rows[0][1]), (2, rows[3][1])], rows, 4)
-    assert topk.top_k(table([], "query_id"), table(rows, "vec_id"), 4).count() == 0
-    assert topk.top_k(table(rows, "query_id"), table([], "vec_id"), 4).count() == 0
-
-
-def test_whole_components(spark):
-    rows = [([0.5, -0.01],), ([float("nan")],), ([float("inf")],), ([None],), (None,), ([],), ([1e300],)]
-    got = spark.createDataFrame(rows, "v array<double>").select(topk.whole_components("v").alias("w")).collect()
-    assert [r.w for r in got] == [[32, -1], None, None, None, None, [], None]
-
-
 # --- 8: mixing -----------------------------------------------------------------------------------------------------
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
