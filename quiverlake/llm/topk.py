@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .runtime import stored
@@ -49,8 +50,8 @@ def whole_components(vector: str, scale: float = 64.0) -> Column:
 
 # --- cuts -----------------------------------------------------------------------------------------------------------
 def fit_cuts(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """A complete binary tree of cuts (directions, thresholds): each node's sample is halved along its widest direction.
-    With them the scale that vectors are divided by first."""
+    """A complete binary tree of cuts (directions, thresholds): each node's sample is parted along its widest
+    direction. With them the scale that vectors are divided by first."""
     scale = float(np.abs(x).max(initial=0)) or 1.0
     x, n = x / scale, (1 << depth) - 1
     direction, threshold, members = np.zeros((n, x.shape[1])), np.zeros(n), [np.arange(len(x))]
@@ -62,8 +63,14 @@ def fit_cuts(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, float]:
             for _ in range(8):  # towards the direction of the largest variance
                 way = spread.T @ (spread @ way)
                 way = way / (np.linalg.norm(way) or 1.0)
-            direction[node] = way
-            threshold[node] = np.median(x[own] @ way)
+            along = x[own] @ way
+            cut = np.median(along)
+            for _ in range(8):  # to the middle between the means of both sides, so that groups are parted, not halved
+                right = along > cut
+                if not 0 < right.sum() < len(own):
+                    break
+                cut = (along[right].mean() + along[~right].mean()) / 2
+            direction[node], threshold[node] = way, cut
         right = x[own] @ direction[node] > threshold[node]
         members += [own[~right], own[right]]
     return direction, threshold, scale
@@ -193,6 +200,7 @@ class Search:
 
 # --- tables ---------------------------------------------------------------------------------------------------------
 RESULT = "dim int, query long, query_id long, vec_id long, score decimal(38,0)"
+PACKED = "dim int, block int, balls array<struct<cell:int,q_centre:array<double>,q_radius:double,least:double>>, payload binary"
 
 
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -322,20 +330,25 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, counts: tuple | None
     places = spark.createDataFrame(plan, "dim int, cell int, first int, parts int")
     asked = asked.join(F.broadcast(places), ["dim", "cell"]).withColumn("block", (F.col("first") + F.pmod("query", F.col("parts"))).cast("int")).drop("first", "parts")
 
+    packed_schema = to_arrow_schema(StructType.fromDDL(PACKED))
+
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         q, floor = _matrix(table.column("vector").combine_chunks(), key[0].as_py()), table.column("floor").to_pylist()
         small = np.abs(q).max(initial=0) < 1 << 15
         payload = {"query": table.column("query").to_numpy(), "query_id": table.column("query_id").to_numpy(), "vector": q.astype(np.int16) if small else q, "floor": [None if f is None else int(f) for f in floor], "floor_id": table.column("floor_id").to_pylist()}
+        balls, cells = [], table.column("cell").to_numpy()
         with np.errstate(all="ignore"):
-            centre = q.astype(float).mean(axis=0)
-            radius = float(np.sqrt(((q - centre) ** 2).sum(axis=1).max(initial=0)))
-        least = -np.inf if None in floor else min(map(float, floor))
-        one = {"dim": key[0].as_py(), "block": key[1].as_py(), "cells": sorted(set(table.column("cell").to_pylist())), "q_centre": centre.tolist(), "q_radius": radius, "least": least, "payload": pickle.dumps(payload)}
-        return pa.Table.from_pylist([one], pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("cells", pa.list_(pa.int32())), ("q_centre", pa.list_(pa.float64())), ("q_radius", pa.float64()), ("least", pa.float64()), ("payload", pa.binary())]))
+            for cell in np.unique(cells).tolist():  # a ball around the queries of each cell, and the least of their k-th scores
+                own = np.flatnonzero(cells == cell)
+                centre = q[own].astype(float).mean(axis=0)
+                least = [floor[i] for i in own]
+                balls.append({"cell": cell, "q_centre": centre.tolist(), "q_radius": float(np.sqrt(((q[own] - centre) ** 2).sum(axis=1).max(initial=0))), "least": -np.inf if None in least else float(min(least))})
+        one = {"dim": key[0].as_py(), "block": key[1].as_py(), "balls": balls, "payload": pickle.dumps(payload)}
+        return pa.Table.from_pylist([one], packed_schema)
 
     def packed(state: DataFrame) -> DataFrame:
         columns = state.select("dim", "block", "cell", "query", "query_id", "vector", "floor", "floor_id")
-        return stored(columns.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, cells array<int>, q_centre array<double>, q_radius double, least double, payload binary"), "packed")
+        return stored(columns.groupBy("dim", "block").applyInArrow(pack, PACKED), "packed")
 
     def records(state: DataFrame, pairs: DataFrame, salts: int) -> DataFrame:
         salt = F.pmod(F.xxhash64("cell", "sub"), F.lit(salts)).cast("int")
@@ -354,15 +367,17 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, counts: tuple | None
         bound = dot + size("q_centre") * F.col("radius") + F.col("q_radius") * reach + 1e-9 * reach * q_reach + 1e-6
         bound = F.when(F.isnan(bound), float("inf")).otherwise(F.greatest(bound, F.lit(-float(MOST_SCORE))))
         pairs = built.select("dim", "cell", "sub", "centre", "radius", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        pairs = pairs.join(state.drop("payload"), ["dim", "block"]).filter((F.col("sub") > 0) | ~F.array_contains("cells", F.col("cell"))).withColumn("bound", bound)
-        pairs = pairs.filter(F.col("bound") >= F.col("least") - 1e-12 * F.when(F.col("least") > float("-inf"), F.abs("least")).otherwise(0.0)).select("dim", "block", "cell", "sub", "bound")
+        balls = state.select("dim", "block", F.col("balls.cell").alias("cells"), F.explode("balls").alias("ball")).select("dim", "block", "cells", "ball.q_centre", "ball.q_radius", "ball.least")
+        pairs = pairs.join(balls, ["dim", "block"]).filter((F.col("sub") > 0) | ~F.array_contains("cells", F.col("cell"))).withColumn("bound", bound)
+        pairs = pairs.filter(F.col("bound") >= F.col("least") - 1e-12 * F.when(F.col("least") > float("-inf"), F.abs("least")).otherwise(0.0))
+        pairs = pairs.groupBy("dim", "block", "cell", "sub").agg(F.max("bound").alias("bound"))
         return _searched(records(state, pairs, salts), k, min(blocks * salts, 4 * cores), counts)
 
     # Each block and the first shard of each of its cells, then each block and all other shards that it may gain from.
     n_by = Window.partitionBy("dim", "query", "query_id")
     order = n_by.orderBy(F.col("score").desc(), "vec_id")
     state = packed(asked.withColumn("floor", F.lit(None).cast("decimal(38,0)")).withColumn("floor_id", F.lit(None).cast("long")))
-    home = state.select("dim", "block", F.explode("cells").alias("cell")).withColumns({"sub": F.lit(0), "bound": F.lit(0.0)})
+    home = state.select("dim", "block", F.explode("balls.cell").alias("cell")).withColumns({"sub": F.lit(0), "bound": F.lit(0.0)})
     best = _searched(records(state, home, 1), k, min(blocks, 4 * cores), counts)
     if not one_shard:
         best = stored(best, "best")

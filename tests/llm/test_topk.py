@@ -84,7 +84,7 @@ def clustered(n, dim=16, centres=40):
 
 def test_leaves_read(spark, monkeypatch):
     """On clustered vectors most leaves are passed over, in whole shards and within shards."""
-    monkeypatch.setattr(topk, "SHARD_ROWS", (1_000, 1_000))
+    monkeypatch.setattr(topk, "SHARD_ROWS", (200, 200))
     monkeypatch.setattr(topk, "QUERY_BLOCK", (60, 60))
     x = clustered(12_000)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
@@ -98,7 +98,7 @@ def test_leaves_read(spark, monkeypatch):
         best = np.lexsort((np.arange(len(s)), -s))[:20]
         assert got[20 * i : 20 * i + 20] == [(q, n + 1, int(j), int(s[j])) for n, j in enumerate(best)]
     every = 600 * (12_000 / topk.LEAF_ROWS)  # at least
-    assert offered.value < 0.9 * every and read.value < 0.25 * every
+    assert offered.value < 0.5 * every and read.value < 0.25 * every
 
 
 def test_a_tree_is_opened_best_first():
