@@ -31,7 +31,7 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.with_spans(docs, secrets.train(secrets.samples(docs))).drop("text")
+    found = secrets.with_spans(docs, secrets.learn(secrets.samples(docs))).drop("text")
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["rank"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),

@@ -122,7 +122,7 @@ def test_chat_empty_and_null_ids(spark):
     assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(None, 2, 1)]
 
 
-# --- 3: secrets ----------------------------------------------------------------------------------------------------
+# --- 3: secrets, as the pipeline masks them -------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -134,43 +134,6 @@ def base_spans(text):
     return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
-def test_secret_base_spans(spark, docs):
-    more = [(500, "token=abcdefg\n" * 700), (501, "😀 secret : 'ab12cd34ef56ab12cd34ef56ab12cd34' x"), (502, "AKIA" + "AKIA" * 9), (503, "api_key=abc secret=secret=abcdefgh")]
-    rows = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    model = secrets.train(secrets.samples(docs))
-    got = secrets.with_spans(rows.withColumn("spans", F.lit("mine")), model).select("text", secrets.as_text("base_spans").alias("base"), secrets.as_text("spans").alias("all")).collect()
-    assert len(got) == docs.count() + len(more)
-    for r in got:
-        assert r.base == base_spans(r.text)
-        assert set(filter(None, r.base.split(","))) <= set(r["all"].split(","))
-
-
-def test_markov_ratio(spark, docs):
-    model = secrets.train(secrets.samples(docs))
-    random_ones = ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "Zx9Kq2Lm8Vt4Wp1Rs7Yb3Nc6", "qT7+zL0/hV9kXw2eR5uJm8Gd"]
-    plain = ["getElementByIdOrDefault", "some_long_identifier_name", "4785380592391135", "internationalization", "src/main/resources/application"]
-    both = spark.createDataFrame([(x,) for x in random_ones + plain], "text string")
-    got = {r.text: (r.s, r.masked) for r in secrets.with_spans(both, model).select("text", secrets.as_text("spans").alias("s"), secrets.masked(F.col("text"), model).alias("masked")).collect()}
-    assert all(got[x] == (f"markov:0:{len(x)}", secrets.MASK) for x in random_ones)
-    assert all(got[x] == ("", x) for x in plain)
-
-    def brute(token):  # the ratio, transition by transition
-        codes = [0, *(secrets.ALPHABET.index(c) + 1 for c in token)]
-        return sum(model.ratios[a * len(secrets.ALPHABET) + b - 1] for a, b in zip(codes, codes[1:]))
-
-    scores = both.select("text", model.of(F.col("text")).alias("ratio")).collect()
-    assert all(r.ratio == pytest.approx(brute(r.text), abs=0.01) for r in scores)
-    assert secrets.train(empty(spark, "sample string, label int")).ratios == tuple([0.0] * len(model.ratios))
-
-
-def test_masking(spark):
-    model = secrets.train(secrets.samples(odd_docs(spark)))
-    got = {r.doc_id: r.text for r in secrets.mask_secrets(odd_docs(spark), model).filter("doc_id is not null").collect()}
-    assert got[10] == f'password = "{secrets.MASK}"; {secrets.MASK}, {secrets.MASK} token=token: abcdefgh'
-    assert all(got[i] == t for i, t in enumerate(ODD[:6]))
-    assert secrets.mask_secrets(empty(spark), model).count() == 0
-
-
 # --- 4: pieces -----------------------------------------------------------------------------------------------------
 def test_pieces_as_the_library(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))
