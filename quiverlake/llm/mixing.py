@@ -54,18 +54,19 @@ def chance(doc_id: str = "doc_id", seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def with_copies(df: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """Adds ``mix``, a struct of source_size, target and copies; ``rates`` is what targets() returns.
+def with_copies(df: DataFrame, rates: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED, name: str = "mix") -> DataFrame:
+    """Adds ``name``, a struct of source_size, target and copies; ``rates`` is what targets() returns.
 
     The rates are counted first, and broadcast only if they are few; otherwise they are joined by a shuffle, where
-    adaptive execution splits the partitions of large sources.
+    adaptive execution splits the partitions of large sources. A null source is a source; rows may repeat; an empty table
+    stays empty; a column of that name gives way.
     """
     rates = stored(rates, "rates").select(F.struct("source", "source_size", "target").alias("__rate"))
     few = rates.count() <= BROADCAST_SOURCES
     joined = df.join(F.broadcast(rates) if few else rates, F.col(f"`{source}`").eqNullSafe(F.col("__rate.source")))
     rate = F.when(F.col("__rate.source_size") > 0, F.col("__rate.target") / F.col("__rate.source_size")).otherwise(0.0)
     copies = F.floor(rate) + (chance(doc_id, seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix", F.struct("__rate.source_size", "__rate.target", copies.cast("long").alias("copies"))).drop("__rate")
+    return joined.withColumn(name, F.struct("__rate.source_size", "__rate.target", copies.cast("long").alias("copies"))).drop("__rate")
 
 
 def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -82,9 +83,9 @@ def plan(df: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with all columns but one named mix. Sizes are one pass over
-    the texts; the second pass joins the rates where the rows are, without a shuffle of texts (if there are few sources),
-    and repeats them."""
-    out = with_copies(df.drop("mix"), targets(sized(df)), seed=seed)
-    again = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("mix.copies"), F.lit(1).cast("long")))
-    return out.filter("mix.copies > 0").withColumn("mix", F.explode(again)).drop("mix")
+    """The rows of ``df``, each as often as the mix takes it, with all columns, whatever their names. Null texts have size 0, a
+    null source is a source, repeated rows are taken alike, an empty table stays empty. Sizes are one pass over the texts; the
+    second pass joins the rates where the rows are, without a shuffle of texts (if there are few sources), and repeats them."""
+    out = with_copies(df, targets(sized(df)), seed=seed, name="__mix").filter("__mix.copies > 0")
+    again = F.sequence(F.lit(1).cast("long"), F.col("__mix.copies"))
+    return out.withColumn("__mix", F.explode(again)).drop("__mix")

@@ -63,7 +63,8 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``statistics``, an array of doubles. A null text counts as empty."""
+    """Adds ``statistics``, an array of doubles. A null text counts as empty; rows may repeat, an empty table stays empty, and a
+    column named statistics gives way."""
     return with_columns(df, [text], "statistics array<double>", lambda t: {"statistics": [statistics(x or "") for x in t.to_pylist()]}, drop)
 
 
@@ -126,7 +127,8 @@ def fit(statistics: DataFrame, label: str = "label", to_pooled: float = 0.1, to_
 
 
 def score(df: DataFrame, model: Discriminant, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``score``, 0 to 1, to rows with ``statistics``."""
+    """Adds ``score``, 0 to 1, to rows with ``statistics``. Equal rows score alike, an empty table stays empty, and a column
+    named score gives way."""
     model.factors  # noqa: B018  made here, once, and sent with the model
 
     def make(x: pa.Array) -> dict:
@@ -135,15 +137,16 @@ def score(df: DataFrame, model: Discriminant, drop: tuple[str, ...] = ()) -> Dat
     return with_columns(df, ["statistics"], "score double", make, drop)
 
 
-def score_texts(df: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
-    """Adds ``score`` to rows with a text, in one step."""
+def score_texts(df: DataFrame, model: Discriminant, text: str = "text", score: str = "score") -> DataFrame:
+    """Adds ``score`` to rows with a text, in one step. Null texts count as empty; rows may repeat, an empty table stays
+    empty, and a column of that name gives way."""
     model.factors  # noqa: B018
 
     def make(t: pa.Array) -> dict:
         x = np.array([statistics(v or "") for v in t.to_pylist()]).reshape(-1, len(NAMES))
-        return {"score": pa.array(model.score(x))}
+        return {score: pa.array(model.score(x))}
 
-    return with_columns(df, [text], "score double", make)
+    return with_columns(df, [text], f"`{score}` double", make)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -169,10 +172,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, as they are, but for a column named score.
+    """The rows of ``docs`` whose score reaches ``threshold``, as they are, with all columns, whatever their names. Null and
+    empty texts are scored like others; rows may repeat; an empty table stays empty.
 
     One pass fits the model; a second scores and filters each row where it is read, so texts are never shuffled.
     """
     known = stored(with_statistics(docs.select("doc_id", F.col(f"`{text}`").alias("text")), drop=("text",)), "statistics")
     model = _learnt(known, labels)
-    return score_texts(docs, model, text).filter(F.col("score") >= threshold).drop("score")
+    return score_texts(docs, model, text, "__quality").filter(F.col("__quality") >= threshold).drop("__quality")

@@ -20,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is hot if it has more than one in so many of the rows; there can't be more hot keys than that.
+HOT_SHARE = 10_000
+
+
+def join_once(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``left`` with a ``right`` that has each key once, where a key may have most rows of ``left``.
+
+    Keys are counted first. Rows with a hot key, of which there are fewer than ``HOT_SHARE``, are joined where they are; only
+    the others are shuffled. ``left`` is read three times, so it should be a table. Null keys join nothing.
+    """
+    total = left.count()
+    hot = left.groupBy(key).count().filter(F.col("count") * HOT_SHARE > total).select(key)
+    names = [*left.columns, *[c for c in right.columns if c != key]]
+    joined = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key).select(*names)
+    return joined.union(left.join(F.broadcast(hot), key, "left_anti").join(right, key).select(*names))
+
+
 def with_columns(
     df: DataFrame,
     inputs: list[str],

@@ -1,16 +1,16 @@
 """SimHash near-duplicates by covering anchors.
 
-Fingerprints have 64 bits; a link is ``THRESHOLD`` differing bits or fewer. The anchors are pairs of words of the perfect
-binary Golay code (23 bits, 4,096 words, covering radius 3), laid over bits 0-22 and 23-45: every fingerprint is within
-radius 3 of one anchor word in each block, and of no other. Take two linked fingerprints and a fingerprint half way:
-each differs from it in one bit at most, so both lie within radius 3 of its anchor in each block, but for one block where
-radius 4 may be needed. Each fingerprint therefore goes to its own anchor and to those that need one bit more in one
-block (9.6 of 2**24 on average), linked fingerprints meet at an anchor, and only there are they compared, in all 64 bits.
-
-What an anchor finds is returned as a spanning forest, at most one edge for each row. Small anchors compare all their
-rows with numpy. Larger ones tie the fingerprints that are one bit from a common neighbour, which links the same classes
-with 65 entries a row. Anchors with more than ``HOT`` fingerprints return those ties themselves, each fingerprint with
-the 64 words one bit from it: the words become nodes of the graph, and the components are found as for any other edges.
+Fingerprints have 64 bits; a link is two differing bits or fewer. The anchors are words of four perfect codes, each of which
+covers its bits: two binary Golay codes (23 bits, 4,096 words, covering radius 3) over bits 0-22 and 23-45, and two Hamming
+codes (7 bits, 16 words, radius 1) over bits 46-52 and 53-59. Every fingerprint is within the radius of one word in each
+block, and of no other. Take two linked fingerprints and a fingerprint half way: each differs from it in one bit at most, so
+both lie within the radius of its anchor in each block, but for one block where one bit more may be needed. Each
+fingerprint therefore goes to its own anchor and to those that need one bit more in one block (14.9 of 2**32 on average),
+linked fingerprints meet at an anchor, and only there are they compared, in all 64 bits.
+
+An anchor compares all its rows, and returns what it finds as a spanning forest, at most one edge for each row. What has more
+than ``HOT`` distinct fingerprints, more than one task should compare, is exact in another way: each fingerprint is tied to
+the 64 words one bit from it, which become nodes of the graph, and the components are found as for any other edges.
 """
 
 from __future__ import annotations
@@ -26,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import stored, with_columns
-
-THRESHOLD, RADIUS, BITS = 2, 3, 23
-#: Generator of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GENERATOR = 0b101011100011
-#: Rows of an anchor that are compared with each other, and rows that one task holds.
-SMALL, HOT = 256, 50_000
+from .runtime import join_once, stored, with_columns
+
+#: Fixed values, which the proof above needs: the differing bits of a link; of each block its first bit, the bits of its
+#: words, its radius and its code's generator (x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 and x^3 + x + 1).
+THRESHOLD = 2
+GOLAY, HAMMING = (23, 3, 0b101011100011), (7, 1, 0b1011)
+BLOCKS = ((0, *GOLAY), (23, *GOLAY), (46, *HAMMING), (53, *HAMMING))
+#: Distinct fingerprints of an anchor that one task compares, and how many of them at a time.
+HOT, TILE = 20_000, 1_024
 SEED = 42
-#: No bit, and each single bit.
-FLIPS = np.r_[np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64)]
+#: Each single bit.
+FLIPS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -67,49 +69,42 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3, drop: tuple[
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
-@lru_cache(maxsize=1)
-def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Syndrome of each 23-bit word's low 12 and high 11 bits; patterns of weight 3 or less by syndrome; those of weight 4
-    sorted by syndrome; and where each syndrome's begin."""
+@lru_cache(maxsize=2)
+def _code(bits: int, radius: int, generator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a perfect cyclic code: the syndrome of each word; the pattern of weight up to the radius with each syndrome; the
+    patterns with one bit more, sorted by syndrome; and where each syndrome's begin."""
+    check = generator.bit_length() - 1
 
     def remainder(x: int) -> int:
-        for k in range(BITS - 1, 10, -1):
+        for k in range(bits - 1, check - 1, -1):
             if x >> k & 1:
-                x ^= GENERATOR << (k - 11)
+                x ^= generator << (k - check)
         return x
 
-    unit = [remainder(1 << k) for k in range(BITS)]
-    low, high = np.zeros(1 << 12, np.int32), np.zeros(1 << 11, np.int32)
-    for table, shift, n in ((low, 0, 12), (high, 12, 11)):
-        for k in range(n):
-            table[1 << k : 2 << k] = table[: 1 << k] ^ unit[shift + k]
-    leader, far = np.zeros(1 << 11, np.int64), []
-    for weight in range(RADIUS + 2):
-        for bits in combinations(range(BITS), weight):
-            pattern, syndrome = sum(1 << b for b in bits), 0
-            for b in bits:
-                syndrome ^= unit[b]
-            if weight <= RADIUS:
-                leader[syndrome] = pattern
-            else:
-                far.append((syndrome, pattern))
-    far = np.array(sorted(far), np.int64)
-    return np.stack([low, np.resize(high, 1 << 12)]), leader, far[:, 1], np.searchsorted(far[:, 0], np.arange((1 << 11) + 1))
+    unit, syndrome = [remainder(1 << k) for k in range(bits)], np.zeros(1 << bits, np.int16)
+    for k in range(bits):
+        syndrome[1 << k : 2 << k] = syndrome[: 1 << k] ^ unit[k]
+    patterns = lambda weight: np.array([sum(1 << b for b in chosen) for chosen in combinations(range(bits), weight)], np.int64)
+    leader, far = np.zeros(1 << check, np.int64), patterns(radius + 1)
+    for weight in range(radius + 1):
+        leader[syndrome[patterns(weight)]] = patterns(weight)
+    far = far[np.argsort(syndrome[far], kind="stable")]
+    return syndrome, leader, far, np.searchsorted(syndrome[far], np.arange((1 << check) + 1))
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For unsigned fingerprints: the anchor of each replica, and the place of its fingerprint in ``fp``."""
-    tables, leader, far, begin = _golay()
-    blocks = [(fp >> np.uint64(s)).astype(np.int64) & ((1 << BITS) - 1) for s in (0, BITS)]
-    syndromes = [tables[0][b & 0xFFF] ^ tables[1][b >> 12] for b in blocks]
-    homes = [b ^ leader[s] for b, s in zip(blocks, syndromes, strict=True)]
-    out, own = [homes[0] << BITS | homes[1]], [np.arange(len(fp))]
-    for k in (0, 1):
-        n = begin[syndromes[k] + 1] - begin[syndromes[k]]
+    """For unsigned fingerprints: the anchor of each replica, its blocks' words where those blocks are, and the place of its
+    fingerprint in ``fp``."""
+    blocks = [(start, (fp >> np.uint64(start)).astype(np.int64) & ((1 << bits) - 1), _code(bits, radius, generator)) for start, bits, radius, generator in BLOCKS]
+    homes = [(word ^ code[1][code[0][word]]) << start for start, word, code in blocks]
+    home = np.bitwise_or.reduce(homes) if len(fp) else np.zeros(0, np.int64)
+    out, own = [home], [np.arange(len(fp))]
+    for k, (start, word, (syndrome, _, far, begin)) in enumerate(blocks):
+        s = syndrome[word].astype(np.int64)
+        n = begin[s + 1] - begin[s]
         row = np.repeat(np.arange(len(fp)), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        word = blocks[k][row] ^ far[begin[syndromes[k]][row] + nth]
-        out.append(word << BITS | homes[1][row] if k == 0 else homes[0][row] << BITS | word)
+        out.append(home[row] ^ homes[k][row] ^ (word[row] ^ far[begin[s][row] + nth]) << start)
         own.append(row)
     return np.concatenate(out), np.concatenate(own)
 
@@ -129,31 +124,28 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _neighbours(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that tie distinct fingerprints which share a word at one bit or none from both."""
-    words, own = (fp[:, None] ^ FLIPS).ravel(), np.repeat(np.arange(len(fp)), 65)
-    order = np.argsort(words, kind="stable")
-    words, own = words[order], own[order]
-    first = np.r_[True, words[1:] != words[:-1]]
-    head = own[np.maximum.accumulate(np.where(first, np.arange(len(words)), 0))]
-    return head[~first], own[~first]
-
-
 def _forest(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links in each anchor's run of distinct fingerprints."""
+    """Edges of a spanning forest of the links in each anchor's run of distinct fingerprints: all pairs of a run are
+    compared, short runs side by side, long ones in tiles."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
     left, right = [], []
-    small = np.repeat(sizes <= SMALL, sizes)
-    for shift in range(1, int(min(SMALL, sizes.max()))):
-        i = np.flatnonzero(small[:-shift] & (anchor[shift:] == anchor[:-shift]))
+    short = np.repeat(sizes <= TILE // 4, sizes)
+    for shift in range(1, int(min(TILE // 4, sizes.max()))):
+        i = np.flatnonzero(short[:-shift] & (anchor[shift:] == anchor[:-shift]))
         i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= THRESHOLD]
         left.append(i)
         right.append(i + shift)
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = _neighbours(fp[s : s + n])
-        left.append(a + s)
-        right.append(b + s)
+    for s, n in zip(starts[sizes > TILE // 4].tolist(), sizes[sizes > TILE // 4].tolist(), strict=True):
+        for a in range(s, s + n, TILE):
+            for b in range(a, s + n, TILE):
+                i, j = np.nonzero(np.bitwise_count(fp[a : min(a + TILE, s + n), None] ^ fp[None, b : min(b + TILE, s + n)]) <= THRESHOLD)
+                # of the links of a tile a spanning forest is enough
+                root = _roots(2 * TILE, i, j + TILE)
+                tied = np.flatnonzero(root != np.arange(2 * TILE))
+                place = lambda x, a=a, b=b: np.where(x < TILE, a + x, b + x - TILE)
+                left.append(place(tied))
+                right.append(place(root[tied]))
     if not left:
         return fp[:0], fp[:0]
     root = _roots(len(fp), np.concatenate(left), np.concatenate(right))
@@ -179,7 +171,7 @@ def links(distinct: DataFrame) -> DataFrame:
         def spread(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(fp), 1_000):
                 part = fp[k : k + 1_000]
-                yield rows(np.repeat(part, 64), (part[:, None] ^ FLIPS[1:]).ravel())
+                yield rows(np.repeat(part, 64), (part[:, None] ^ FLIPS).ravel())
 
         for batch in batches:
             anchor = np.r_[anchor, batch.column(0).to_numpy()]
@@ -220,16 +212,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     distinct = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc"))
     parts = connected_components(links(distinct))
     known = distinct.join(parts, distinct.fingerprint == parts.node, "left").select("fingerprint", "least_doc", F.coalesce("root", "fingerprint").alias("class"))
-    known = known.join(known.groupBy("class").agg(F.min("least_doc").alias("component_id")), "class")
-    return rows.join(known.select("fingerprint", "class", "component_id"), "fingerprint").select("doc_id", "text_key", "fingerprint", "class", "component_id")
+    known = stored(known, "classes")
+    known = join_once(known, known.groupBy("class").agg(F.min("least_doc").alias("component_id")), "class")
+    return join_once(rows, stored(known.select("fingerprint", "class", "component_id"), "classes"), "fingerprint")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class the row with the smallest doc_id stays (of rows that
-    repeat it, one), as it is, with all its columns."""
+    repeat it, one), as it is, with all its columns, whatever their names. A class of rows without an id keeps the one whose text has
+    the smallest hash; an empty table stays empty.
+
+    Who stays is decided on ids and hashes. Whole rows are shuffled once: repeated ones are combined before it, and the
+    semi join with those who stay finds them already dealt by its keys.
+    """
     classes = near_duplicates(df, doc_id, text, width)
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
-    first = first.select(F.col("best.doc_id").alias("__doc"), F.col("best.text_key").alias("__key"))
-    keyed = df.withColumn("__own", F.xxhash64(F.col(f"`{text}`")))
-    kept = keyed.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__own"]).drop("__own")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("none"))
+    stays = first.select(named(F.col("best.doc_id")).alias("__doc"), F.col("best.text_key").alias("__key"))
+    keyed = df.withColumns({"__doc": named(F.col(f"`{doc_id}`")), "__key": F.xxhash64(F.col(f"`{text}`"))})
+    return keyed.dropDuplicates(["__doc", "__key"]).join(stays, ["__doc", "__key"], "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -80,7 +80,7 @@ def test_quality_odd_rows(spark):
     assert quality.classify(empty(spark), labels).count() == 0
     assert quality.classify(odd_docs(spark), labels.limit(0)).count() == len(ODD) + 3
     clash = odd_docs(spark).withColumn("score", F.lit("mine")).withColumn("label", F.lit(1))
-    assert set(quality.keep_good(clash, labels, threshold=0.0).columns) == set(clash.columns) - {"score"}
+    assert quality.keep_good(clash, labels, threshold=0.0).columns == clash.columns
 
 
 # --- 2: chat -------------------------------------------------------------------------------------------------------
@@ -199,7 +199,7 @@ def test_simhash_components(spark, docs):
 @pytest.mark.parametrize("hot", [simhash.HOT, 100])
 def test_links_of_crowded_anchors(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
-    monkeypatch.setattr(simhash, "SMALL", 64)
+    monkeypatch.setattr(simhash, "TILE", 256)
     rnd = random.Random(5)
     flip = lambda x, k: x ^ sum(1 << b for b in rnd.sample(range(64), k))
     base = [rnd.getrandbits(64) for _ in range(200)]
@@ -295,7 +295,7 @@ def test_mixing(spark, docs, monkeypatch, few):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
-    clash = docs.withColumn("target", F.lit("mine")).withColumn("copies", F.lit(0)).withColumn("source_size", F.lit(0))
+    clash = docs.withColumn("mix", F.lit("mine")).withColumn("size", F.lit(1)).withColumn("target", F.lit("mine")).withColumn("copies", F.lit(0)).withColumn("source_size", F.lit(0))
     assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).filter("target = 'mine'").count() == mixed.count()
     assert mixing.plan(empty(spark)).count() == 0
 
