@@ -5,7 +5,9 @@ level but the last says which ids go on, and a rank directory (ones before every
 next level. So any token is read with one chunk and at most one rank a level, and no block is decoded for it.
 
 A corpus is a Parquet table of segments, each the image of one file: whole documents in ascending id order, closed after
-``segment_tokens`` ids. Spark's committer writes it, so a task that runs twice leaves its segments once.
+``segment_tokens`` ids. Spark's committer writes it, so a task that runs twice leaves its segments once. The table is not
+compressed, and its row groups are small and hold the least and largest document of theirs: ``get`` reads the bytes of
+the segments that may hold a document, as they lie in the file, and of these the chunks of the tokens asked for.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ MAGIC, BLOCK = b"QLDAC01\n", 512
 CACHE_WORDS, CACHE_PARTS, CACHE_BYTES = 700_000, 400_000, 64
 #: Up to so many segments (three numbers each), their starts are broadcast.
 BROADCAST_SEGMENTS = 200_000
-SEGMENT = "part int, segment int, first_doc long, tokens long, doc_ids array<long>, doc_lengths array<int>, image binary"
+SEGMENT = "part int, segment int, first_doc long, last_doc long, tokens long, doc_ids array<long>, doc_lengths array<int>, image binary"
+#: How segments lie in their files: as they are, in row groups of a few.
+AS_THEY_ARE = {"compression": "none", "parquet.block.size": str(4 << 20), "parquet.enable.dictionary": "false"}
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
@@ -206,35 +210,48 @@ def write(
 
     ``model`` is a tokenizers file whose tokens never hold white space. A null text is empty: its document holds the end
     id alone. Documents with a null id come first; rows with the same id stay, ordered by their texts' hashes. An empty
-    table gives no segment. Other columns are not read. Texts are dealt out by ranges of ids, then encoded.
+    table gives no segment. Other columns are not read, whatever their names. Texts are encoded where they are read; their
+    ids, two bytes each where those hold them, are written, then dealt out by ranges of document ids, and packed.
     """
     spark = df.sparkSession
     if partitions is None:
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    ranged = rows.repartitionByRange(partitions, F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("text"))
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = load(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):  # few texts at a time stay in the processor's cache
+                piece = batch.slice(at, 32)
+                ids = [np.frombuffer(raw + end, "<u4") for raw in words.encode([t or "" for t in piece.column(2).to_pylist()])]
+                wide = [len(x) > 0 and int(x.max()) >= 1 << 16 for x in ids]
+                raws = [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(wide), pa.array(raws, pa.binary())], ["doc", "tie", "wide", "ids"])
+
+    encoded = stored(rows.mapInArrow(encode, "doc long, tie long, wide boolean, ids binary"), "ids")
+    order = [F.col("doc").asc_nulls_first(), F.col("tie")]
+    ranged = encoded.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, k = load(model), TaskContext.get().partitionId(), 0
-        docs, raws, tokens = [], [], 0
+        part, k = TaskContext.get().partitionId(), 0
+        docs, ids, tokens = [], [], 0
 
         def segment() -> pa.RecordBatch:
-            image = pack(np.frombuffer(b"".join(raws), "<u4"))
-            lengths = [len(r) // 4 for r in raws]
-            return pa.RecordBatch.from_pylist([{"part": part, "segment": k, "first_doc": docs[0], "tokens": tokens, "doc_ids": docs, "doc_lengths": lengths, "image": image}], schema)
+            known = [d for d in docs if d is not None]
+            return pa.RecordBatch.from_pylist([{
+                "part": part, "segment": k, "first_doc": docs[0], "last_doc": known[-1] if known else None, "tokens": tokens,
+                "doc_ids": docs, "doc_lengths": [len(x) for x in ids], "image": pack(np.concatenate(ids)),
+            }], schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):  # few texts at a time stay in the processor's cache
-                piece = batch.slice(at, 32)
-                encoded = words.encode([t or "" for t in piece.column(1).to_pylist()])
-                for doc, raw in zip(piece.column(0).to_pylist(), encoded, strict=True):
-                    docs.append(doc)
-                    raws.append(raw + end)
-                    tokens += len(raws[-1]) // 4
-                    if tokens >= segment_tokens:
-                        yield segment()
-                        docs, raws, tokens, k = [], [], 0, k + 1
+            for doc, wide, raw in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                docs.append(doc)
+                ids.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
+                tokens += len(ids[-1])
+                if tokens >= segment_tokens:
+                    yield segment()
+                    docs, ids, tokens, k = [], [], 0, k + 1
         if docs:
             yield segment()
 
@@ -242,7 +259,28 @@ def write(
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(SEGMENT))
-    return stored(ranged.mapInArrow(run, SEGMENT), "tokens")
+    return stored(ranged.mapInArrow(run, SEGMENT), "tokens", **AS_THEY_ARE)
+
+
+def get(segments: DataFrame, doc_id: int, positions: list[int]) -> DataFrame:
+    """doc_id, position and token: the tokens at ``positions`` (from 0; the end id is the last) of a document.
+
+    Only segments whose range of ids holds the document are read, by the statistics of their row groups; in a segment each
+    token is read by itself, with no other decoded. A position that the document doesn't have gives no row, nor does a
+    document that isn't there; rows that share the id give a row each, in no order; null ids can't be asked for.
+    """
+    asked = sorted(set(positions))
+    near = segments.filter((F.col("last_doc") >= doc_id) & (F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id))).select("doc_ids", "doc_lengths", "image")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, lengths, image in zip(*(batch.column(i) for i in range(3)), strict=True):
+                lengths, image = np.array(lengths.as_py(), np.int64), Image(image.as_buffer())
+                starts = np.cumsum(lengths) - lengths
+                found = [(p, image[int(starts[at]) + p]) for at, doc in enumerate(docs.as_py()) if doc == doc_id for p in asked if 0 <= p < lengths[at]]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["doc_id", "position", "token"])
+
+    return near.mapInArrow(run, "doc_id long, position long, token long")
 
 
 def read(segments: DataFrame) -> DataFrame:

@@ -328,6 +328,32 @@ def test_token_store(spark, docs):
     assert token_store.read(token_store.write(empty(spark), queries.WORD_MODEL, 1)).count() == 0
 
 
+@pytest.mark.parametrize("few", [token_store.BROADCAST_SEGMENTS, 0])
+def test_tokens_by_position(spark, sf, monkeypatch, few):
+    """Of stored files, opened anew."""
+    monkeypatch.setattr(token_store, "BROADCAST_SEGMENTS", few)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(7, "a second seven"), (None, "none")], "doc_id long, text string"))
+    written = token_store.write(docs, queries.WORD_MODEL, 1, segment_tokens=3000)
+    segments = spark.read.parquet(*written.inputFiles())
+    assert segments.count() > 20
+    want = {}
+    for r in token_store.read(segments).collect():
+        want.setdefault(r.doc_id, []).append(np.frombuffer(r.ids, "<u4").tolist())
+    assert sum(map(len, want.values())) == docs.count()
+    for doc in (0, 7, 101):
+        asked = [0, 1, 5, len(want[doc][0]) - 1, 10**9, -1]
+        got = sorted((r.position, r.token) for r in token_store.get(segments, doc, asked).collect())
+        assert got == sorted((p, ids[p]) for ids in want[doc] for p in asked if 0 <= p < len(ids))
+    assert token_store.get(segments, 10**12, [0]).count() == 0 and token_store.get(segments.limit(0), 0, [0]).count() == 0
+    plan = token_store.get(segments, 7, [0])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(last_doc,7)" in plan
+    import pyarrow.parquet as pq
+
+    column = [c for c in range(pq.ParquetFile(written.inputFiles()[0].removeprefix("file://")).metadata.num_columns)]
+    meta = pq.ParquetFile(written.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    assert all(meta.column(c).compression == "UNCOMPRESSED" for c in column)
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 0], list(range(70000)), [2**32 - 1, 5, 2**17]])
 def test_token_image(ids):
     image = token_store.Image(token_store.pack(np.array(ids, np.uint64)))
