@@ -18,23 +18,46 @@ from quiverlake.llm.runtime import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs`` that the classifier, fitted on the labelled ones that are not held out, scores 0.7 or more.
+
+    Null and empty texts are scored like others, so they go or stay by their score; equal texts fare alike; an empty table stays
+    empty; all columns stay, whatever their names. Labels are read for the fit alone.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates among ``docs`` the row with the smallest doc_id.
+
+    Null and empty texts are one class; of rows that repeat a doc_id and a text one stays; a class of rows without ids
+    keeps one of them; an empty table stays empty; all columns stay, whatever their names.
+    """
     return simhash.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with the secrets in their texts masked, by models trained on words of ``docs``.
+
+    All rows and columns stay; null and empty texts, and texts without secrets, as they are; equal texts are masked
+    alike; an empty table stays empty.
+    """
     return secrets.mask_secrets(docs, secrets.learn(secrets.samples(docs)))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs``, each row as often as the target of its source asks, which may be never.
+
+    Null texts have size 0, a null source is a source, rows with one doc_id are taken alike, an empty table stays
+    empty; all columns stay, whatever their names.
+    """
     return mixing.mix(docs)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, piece_ids, and whether the ids decode to the text (a U+2581 comes back a space)."""
+    """doc_id, source, lang, n_tokens, piece_ids, and whether the ids decode to the text (a U+2581 comes back a space).
+
+    Null texts count as empty and have no ids; rows may repeat; an empty table gives no row; other columns are not read.
+    """
     out = pieces.encode(docs.select("doc_id", "source", "lang", "text"), PIECE_MODEL, drop=("text",), round_trip="round_trip")
     return out.select("doc_id", "source", "lang", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", "round_trip")
 
