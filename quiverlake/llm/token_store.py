@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,31 +210,37 @@ def write(
     ``model`` is a tokenizers file whose tokens never hold white space. A null text is empty: its document holds the end
     id alone. Documents with a null id come first; rows with the same id stay, ordered by their texts' hashes. An empty
     table gives no segment. Other columns are not read, whatever their names. Texts are encoded where they are read; their
-    ids, two bytes each where those hold them, are written, then dealt out by ranges of document ids, and packed.
+    ids, two bytes each where those hold them, are dealt out by ranges of document ids, whose bounds a pass over the
+    ids of documents estimates first, and packed. Documents with one id may be spread over several ranges, by hash.
     """
     spark = df.sparkSession
     if partitions is None:
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    parts = 4 * partitions  # several for a task, so that their sizes even out
+    least = np.iinfo(np.int64).min  # where null ids are
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = rows.agg(F.percentile_approx(F.coalesce("doc", F.lit(least)), shares, max(10_000, 10 * parts)).alias("b")).first().b
+    bounds, end = np.array(bounds or [], np.int64), np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 32):  # few texts at a time stay in the processor's cache
                 piece = batch.slice(at, 32)
+                doc, tie = piece.column(0).fill_null(least).to_numpy(), piece.column(1).to_numpy()
+                low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+                part = low + ((tie.astype(float) / 2.0**64 + 0.5) * (high - low + 1)).astype(np.int64)  # grows with (doc, tie)
                 ids = [np.frombuffer(raw + end, "<u4") for raw in words.encode([t or "" for t in piece.column(2).to_pylist()])]
-                wide = [len(x) > 0 and int(x.max()) >= 1 << 16 for x in ids]
+                wide = [int(x.max()) >= 1 << 16 for x in ids]
                 raws = [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(wide), pa.array(raws, pa.binary())], ["doc", "tie", "wide", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, high).astype(np.int32)), piece.column(0), piece.column(1), pa.array(wide), pa.array(raws, pa.binary())], ["part", "doc", "tie", "wide", "ids"])
 
-    encoded = stored(rows.mapInArrow(encode, "doc long, tie long, wide boolean, ids binary"), "ids")
-    order = [F.col("doc").asc_nulls_first(), F.col("tie")]
-    ranged = encoded.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    encoded = rows.mapInArrow(encode, "part int, doc long, tie long, wide boolean, ids binary")
+    dealt = encoded.repartition(partitions, "part").sortWithinPartitions("part", F.col("doc").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
-        docs, ids, tokens = [], [], 0
+        part, k, docs, ids, tokens = None, 0, [], [], 0
 
         def segment() -> pa.RecordBatch:
             known = [d for d in docs if d is not None]
@@ -245,7 +250,11 @@ def write(
             }], schema)
 
         for batch in batches:
-            for doc, wide, raw in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+            for own, doc, wide, raw in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True):
+                if own != part:
+                    if docs:
+                        yield segment()
+                    part, k, docs, ids, tokens = own, 0, [], [], 0
                 docs.append(doc)
                 ids.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
                 tokens += len(ids[-1])
@@ -259,7 +268,7 @@ def write(
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(SEGMENT))
-    return stored(ranged.mapInArrow(run, SEGMENT), "tokens", **AS_THEY_ARE)
+    return stored(dealt.mapInArrow(run, SEGMENT), "tokens", **AS_THEY_ARE)
 
 
 def get(segments: DataFrame, doc_id: int, positions: list[int]) -> DataFrame:
@@ -286,7 +295,7 @@ def get(segments: DataFrame, doc_id: int, positions: list[int]) -> DataFrame:
 def read(segments: DataFrame) -> DataFrame:
     """Of each document: doc_id, start (ids before it), n_tokens and its ids as little-endian 32-bit integers.
 
-    Starts come from sums over each part's segments, and over the parts, of which there are as many as write() had
+    Starts come from sums over each part's segments, and over the parts, of which there are four for each of write()'s
     partitions. The segments are counted first; the starts of up to ``BROADCAST_SEGMENTS`` are broadcast, so images are
     not shuffled for them.
     """

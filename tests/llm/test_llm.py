@@ -328,6 +328,16 @@ def test_token_store(spark, docs):
     assert token_store.read(token_store.write(empty(spark), queries.WORD_MODEL, 1)).count() == 0
 
 
+def test_documents_of_one_id(spark):
+    """Most rows share an id: they are spread over ranges, and still in order of id and hash."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 500).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    segments = token_store.write(rows, queries.WORD_MODEL, 1, partitions=5)
+    got = sorted(token_store.read(segments).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in rows.collect())
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    assert segments.filter("array_contains(doc_ids, 500)").count() > 5
+
+
 @pytest.mark.parametrize("few", [token_store.BROADCAST_SEGMENTS, 0])
 def test_tokens_by_position(spark, sf, monkeypatch, few):
     """Of stored files, opened anew."""
