@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2
-from .knn import knn_blocks, top
+from .knn import knn_batch, knn_blocks, top
 
 
 def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -63,10 +66,20 @@ def chunks(rows: DataFrame, size: int, id_col: str = "vec_id") -> DataFrame:
 
 
 # --- inverted file --------------------------------------------------------------------------------------------------
-def ivf_train(rows: DataFrame, cells: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """cell and centre: the rows with the smallest hashes of their ids, ``cells`` of them."""
-    seeds = rows.select(id_col, vector).orderBy(F.xxhash64(id_col), id_col).limit(cells)
-    return seeds.select((F.row_number().over(Window.orderBy(id_col)) - 1).alias("cell"), F.col(vector).cast("array<double>").alias("centre"))
+def ivf_train(rows: DataFrame, cells: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 256, iterations: int = 10) -> DataFrame:
+    """cell and centre: k-means of a bounded sample, about ``sample`` rows for each cell, chosen by the hash of their ids. An
+    empty cell keeps its centre. With fewer rows than cells each row is a centre."""
+    good = rows.select(id_col, F.col(vector).cast("array<double>").alias("v")).filter("v is not null and not exists(v, x -> x is null)")
+    share = max(1, -(-cells * sample * (1 << 40) // max(good.count(), 1)))
+    place = F.xxhash64(id_col)
+    chosen = good.filter(F.pmod(place, F.lit(1 << 40)) < share).select("v", place.alias("h")).limit(2 * cells * sample).toArrow()
+    x = np.array([chosen.column("v")[i].as_py() for i in np.argsort(chosen.column("h").to_numpy(), kind="stable").tolist()], float)
+    centres = x[:cells].copy()
+    for _ in range(iterations if len(x) else 0):
+        near = ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+        for c in np.unique(near).tolist():
+            centres[c] = x[near == c].mean(axis=0)
+    return rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cell int, centre array<double>")
 
 
 def _cells(rows: DataFrame, centres: DataFrame, n: int, vector: str, out: str) -> DataFrame:
@@ -86,3 +99,32 @@ def ivf_search(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int,
     asked = _cells(queries.select("qid", "qv"), centres, probes, "qv", "__cells").select("qid", "qv", F.explode("__cells").alias("cell"))
     pairs = index.select("cell", id_col, vector).join(asked, "cell").select("qid", id_col, l2(vector, "qv").alias("distance"))
     return top(pairs, k, "qid", F.col("distance"), id_col)
+
+
+def choose_probes(index: DataFrame, centres: DataFrame, k: int, target: float = 0.95, asked: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> int:
+    """The fewest cells to read so that, over ``asked`` rows of the index as queries (chosen by the hash of their ids),
+    ``target`` of their true k neighbours lie in them. The truth is brute force; k numbers a query reach the driver."""
+    share = max(1, -(-asked * (1 << 40) // max(index.count(), 1)))
+    queries = index.filter(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 40)) < share).select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")).limit(2 * asked)
+    n = centres.count()
+    order = _cells(queries, centres, n, "qv", "__cells").select("qid", F.posexplode("__cells").alias("rank", "cell"))
+    truth = knn_batch(index, queries, k, "l2", id_col, vector).select("qid", id_col)
+    ranks = sorted(r["rank"] for r in truth.join(index.select(id_col, "cell"), id_col).join(order, ["qid", "cell"]).select("rank").collect())
+    return ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)) - 1)] + 1 if ranks else n
+
+
+# --- layered graphs -------------------------------------------------------------------------------------------------
+def build_layers(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """layer, src, dst and distance of a layered graph: a node is in all layers up to its hashed level; in each layer it is
+    tied to its m nearest there, in both directions, and keeps the nearest 2 m of its edges in layer 0, m above. The
+    highest layer is the first with m nodes or fewer, whose nodes are a search's entries; its edges tie all of them."""
+    levelled, out, layer = rows.select(id_col, vector, hashed_level(id_col).alias("level")), None, 0
+    while True:
+        own = levelled.filter(F.col("level") >= layer)
+        near = edges(own, m + 1, id_col, vector)
+        both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
+        capped = top(both, 2 * m if layer == 0 else m, "src", F.col("distance"), "dst").drop("rk").select(F.lit(layer).alias("layer"), "src", "dst", "distance")
+        out = capped if out is None else out.unionByName(capped)
+        if own.count() <= m:
+            return out
+        layer += 1

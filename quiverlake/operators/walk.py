@@ -48,19 +48,21 @@ def greedy_step(rows: DataFrame, queries: DataFrame, entries: DataFrame, metric:
 
 
 def search(
-    rows: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, store: Callable[[DataFrame], DataFrame],
-    metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", most_steps: int = 200,
+    rows: DataFrame, edges: DataFrame, queries: DataFrame, entry: int | DataFrame, k: int, ef: int, store: Callable[[DataFrame], DataFrame],
+    metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """qid, rk, id, distance and visited of the k nearest that the walk of each query (qid, qv; broadcast, so few) finds.
 
-    ``store`` writes a DataFrame and returns it as read again. All queries start at ``entry``.
+    ``store`` writes a DataFrame and returns it as read again. All queries start at ``entry``, or each at its own of a
+    DataFrame (qid, id). A walk goes on until nothing is open among its ef nearest; as a node is opened once, it ends.
     """
     distance = metric_of(metric)(F.col(vector), F.col("qv"))
     vectors, asked = rows.select(id_col, vector), F.broadcast(queries.select("qid", "qv"))
     score = lambda df: df.join(vectors, id_col).join(asked, "qid").select("qid", id_col, distance.alias("distance"))
-    seen = store(score(queries.select("qid", F.lit(entry).cast("long").alias(id_col))).withColumn("open", F.lit(True)))
+    starts = queries.select("qid", F.lit(entry).cast("long").alias(id_col)) if isinstance(entry, int) else entry.select("qid", id_col).distinct()
+    seen = store(score(starts).withColumn("open", F.lit(True)))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", id_col))
-    for _ in range(most_steps):
+    while True:
         frontier = seen.withColumn("r", rank).filter((F.col("r") <= ef) & F.col("open")).select("qid", F.col(id_col).alias("src"))
         if frontier.isEmpty():
             break
@@ -72,6 +74,20 @@ def search(
     return seen.withColumn("rk", rank).filter(F.col("rk") <= k).join(visited, "qid").select("qid", "rk", id_col, "distance", "visited")
 
 
+def descend(
+    rows: DataFrame, graph: DataFrame, queries: DataFrame, k: int, store: Callable[[DataFrame], DataFrame], parameters: GraphParameters = GraphParameters(),
+    metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
+) -> DataFrame:
+    """As search(), in a layered graph (layer, src, dst): from the nearest node of the highest layer, in each layer down to
+    the first to the nearest node by a walk of width 1, and in layer 0 with a list of ``ef_search``."""
+    layers = graph.agg(F.max("layer").alias("n")).first().n
+    nodes = graph.filter(F.col("layer") == layers).select(F.col("src").alias(id_col)).distinct()
+    entries = store(greedy_step(rows, queries, queries.select("qid").crossJoin(F.broadcast(nodes)), metric, id_col, vector))  # the highest layer has m nodes or fewer
+    for layer in range(layers - 1, 0, -1):
+        entries = store(search(rows, graph.filter(F.col("layer") == layer), queries, entries, 1, 1, store, metric, id_col, vector).select("qid", id_col))
+    return search(rows, graph.filter("layer = 0"), queries, entries, k, max(k, parameters.ef_search), store, metric, id_col, vector)
+
+
 # --- graph snapshots ------------------------------------------------------------------------------------------------
 def adjacency(edges: DataFrame) -> DataFrame:
     """layer, node and its sorted neighbours."""
