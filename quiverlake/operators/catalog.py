@@ -9,14 +9,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .collection import Collection, EngineError
 
 
 # --- ingest ---------------------------------------------------------------------------------------------------------
 def with_ids(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows without an id get one that does not depend on when or where they are read: a hash of the row."""
+    """Rows without an id get one of their own: a hash of the row, and its place in the table that this writes, which keeps
+    equal rows apart. The ids stay as they are however often the result is read."""
     rest = [c for c in rows.columns if c != id_col]
-    return rows.withColumn(id_col, F.coalesce(F.col(id_col), F.concat(F.lit("vec_"), F.substring(F.sha2(F.to_json(F.struct(*rest)), 256), 1, 16))))
+    made = F.concat(F.lit("vec_"), F.substring(F.sha2(F.to_json(F.struct(*rest)), 256), 1, 16), F.lit("_"), F.monotonically_increasing_id().cast("string"))
+    return stored(rows.withColumn(id_col, F.coalesce(F.col(id_col), made)), "ids")
 
 
 def as_text(value: object) -> str:

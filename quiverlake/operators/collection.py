@@ -273,6 +273,30 @@ class Collection:
         self.rows = self.rows.filter(~F.col(self.id_col).isin(*ids))
         return self
 
+    def update(self, new: DataFrame) -> Collection:
+        """Rows of ids that are there get the vectors of ``new``; a column that ``new`` lacks becomes null, as a row is written
+        anew. An id that is not there is an error."""
+        good, bad = validate(new, self.dim, self.vector)
+        self.errors.append(bad)
+        if not good.join(self.rows.select(self.id_col), self.id_col, "left_anti").isEmpty():
+            raise EngineError(EngineError.NOT_FOUND, "an id is not there")
+        self.rows = upsert(self.rows, good.select(*[F.col(c) if c in good.columns else F.lit(None).alias(c) for c in self.rows.columns]), "overwrite", self.id_col)
+        return self
+
+    def patch(self, patches: DataFrame, column: str = "metadata") -> Collection:
+        """Merges metadata, as :func:`patch_metadata`."""
+        self.rows = patch_metadata(self.rows, patches, self.id_col, column)
+        return self
+
+    def snapshot(self, snapshots, ts: int) -> DataFrame:
+        """Writes the rows as a base of ``snapshots`` and returns their count and checksum."""
+        snapshots.write_base(self.rows, ts)
+        return checksum(self.rows)
+
+    def info(self) -> DataFrame:
+        """name, dimension, metric and rows."""
+        return self.rows.agg(F.count("*").alias("rows")).select(F.lit(self.name).alias("name"), F.lit(self.dim).alias("dimension"), F.lit(self.metric).alias("metric"), "rows")
+
     def delete_by_filter(self, where) -> Collection:
         self.rows = self.rows.filter(~where.column())
         return self

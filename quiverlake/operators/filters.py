@@ -39,6 +39,9 @@ class _Leaf(Filter):
     field: str
     value: Any = None
 
+    def __post_init__(self) -> None:
+        """Where a kind of condition checks its value."""
+
     def test(self, c: Column) -> Column:
         raise NotImplementedError
 
@@ -66,22 +69,32 @@ class Ne(_Leaf):
         return ~Eq(self.field, self.value).column()
 
 
-class Lt(_Leaf):
+class _Number(_Leaf):
+    """A comparison with a number; any other value is an error."""
+
+    def __post_init__(self):
+        from .collection import EngineError
+
+        if isinstance(self.value, bool) or not isinstance(self.value, (int, float)):
+            raise EngineError(EngineError.INVALID, f"{self.field} is compared with {self.value!r}, which is no number")
+
+
+class Lt(_Number):
     def test(self, c):
         return c < self.value
 
 
-class Le(_Leaf):
+class Le(_Number):
     def test(self, c):
         return c <= self.value
 
 
-class Gt(_Leaf):
+class Gt(_Number):
     def test(self, c):
         return c > self.value
 
 
-class Ge(_Leaf):
+class Ge(_Number):
     def test(self, c):
         return c >= self.value
 
@@ -103,6 +116,27 @@ class Between(_Leaf):
         return c.between(*self.value)
 
 
+class TextLess(_Leaf):
+    """Before the value in the order of strings, whatever the field's type: "10" is before "9"."""
+
+    def test(self, c):
+        return c.cast("string") < str(self.value)
+
+
+class TextGreater(_Leaf):
+    """After the value in the order of strings."""
+
+    def test(self, c):
+        return c.cast("string") > str(self.value)
+
+
+class HasAll(_Leaf):
+    """All members of a list."""
+
+    def test(self, c):
+        return reduce(lambda a, b: a & b, (F.array_contains(c, v) for v in self.value), c.isNotNull())
+
+
 class In(_Leaf):
     def test(self, c):
         return c.isin(*self.value) if self.value else F.lit(False)

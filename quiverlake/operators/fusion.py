@@ -96,6 +96,26 @@ def slot_stats(slots: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def set_slot(slots: DataFrame, new: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``slots`` with those of ``new`` (id, slot, dense, sparse; one row for a document and slot) set. A slot whose name is no
+    name, or that has not one of dense and sparse, is not taken."""
+    good = new.filter(F.col("slot").rlike(SLOT_NAME) & (F.col("dense").isNull() != F.col("sparse").isNull())).select(*slots.columns)
+    return slots.join(good.select(id_col, "slot"), [id_col, "slot"], "left_anti").select(*slots.columns).unionByName(good)
+
+
+def remove_slot(slots: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return slots.join(gone.select(id_col, "slot"), [id_col, "slot"], "left_anti").select(*slots.columns)
+
+
+def get_slot(slots: DataFrame, doc_id: object, slot: str, id_col: str = "doc_id") -> DataFrame:
+    return slots.filter((F.col(id_col) == doc_id) & (F.col("slot") == slot))
+
+
+def documents_with(slots: DataFrame, slot: str, id_col: str = "doc_id") -> DataFrame:
+    """The documents that have the slot."""
+    return slots.filter(F.col("slot") == slot).select(id_col).distinct()
+
+
 def store_stats(per_document: DataFrame) -> DataFrame:
     """Documents by kind: with dense slots only, sparse slots only, or both."""
     kind = F.when((F.col("n_dense") > 0) & (F.col("n_sparse") > 0), "hybrid").when(F.col("n_dense") > 0, "dense").otherwise("sparse")

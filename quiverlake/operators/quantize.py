@@ -203,6 +203,11 @@ def needs_rebuild(since: int, limit: int = 100_000) -> bool:
     return since >= limit
 
 
+def lookup_table_bytes(m: int, k: int) -> int:
+    """Of one query's table: a number for each code of each part."""
+    return m * k * 4
+
+
 def sizes(dim: int, m: int, n: int) -> dict[str, float]:
     """Bytes of one vector by encoding, and the share of memory that product codes save."""
     raw = dim * 4

@@ -134,6 +134,24 @@ def admission(requests: DataFrame, limit: Column | int) -> DataFrame:
     return dealt.mapInArrow(fold, from_arrow_schema(schema))
 
 
+#: The operations that a tenant may ask for.
+OPERATIONS = ("insert", "update", "delete", "search")
+
+
+def validated(requests: DataFrame, tenants: DataFrame, collections: DataFrame) -> DataFrame:
+    """``requests`` (tenant, collection, op, ...) with error: unknown tenant, unknown collection (of that tenant) or unknown
+    operation, the first that holds, or null. ``tenants`` has tenant, ``collections`` tenant and collection."""
+    known = requests.join(tenants.select("tenant").distinct().withColumn("__t", F.lit(True)), "tenant", "left")
+    known = known.join(collections.select("tenant", "collection").distinct().withColumn("__c", F.lit(True)), ["tenant", "collection"], "left")
+    error = F.when(F.col("__t").isNull(), "unknown tenant").when(F.col("__c").isNull(), "unknown collection").when(~F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False)), "unknown operation")
+    return known.select(*requests.columns, error.alias("error"))
+
+
+def replica_quorum(in_sync: Column, replicas_: Column) -> Column:
+    """Whether the replicas in sync, with the leader, are a majority of all."""
+    return in_sync + 1 >= F.floor((replicas_ + 2) / 2)
+
+
 def newest(audit: DataFrame, n: int, by: str, seq: str) -> DataFrame:
     """The n newest entries of each tenant."""
     return audit.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.col(seq).desc()))).filter(F.col("__r") <= n).drop("__r")

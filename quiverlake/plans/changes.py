@@ -344,6 +344,20 @@ def tenant_quota(spark, sf):
     return R.admission(events(spark, sf).select((F.col("user_id") % 10).alias("tenant"), F.col("event_id").alias("seq"), delta.alias("delta")), 500)
 
 
+@query("""SELECT CASE WHEN user_id % 10 > 6 THEN 'unknown tenant' WHEN event_type = 'error' THEN 'unknown collection' WHEN event_id % 5 = 0 THEN 'unknown operation' END AS error, count(*) AS n FROM events GROUP BY ALL""")
+def tenant_validation(spark, sf):
+    e = events(spark, sf).withColumn("tenant", F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")))
+    asked = e.select("tenant", F.col("event_type").alias("collection"), F.when(F.col("event_id") % 5 == 0, "compact").otherwise("search").alias("op"))
+    tenants = e.filter("user_id % 10 <= 6").select("tenant")
+    return R.validated(asked, tenants, asked.filter("collection <> 'error'")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS shard, count(*) AS replicas, count(*) FILTER (WHERE event_id % 3 <> 0) AS in_sync, count(*) FILTER (WHERE event_id % 3 <> 0) + 1 >= (count(*) + 2) // 2 AS quorum FROM events GROUP BY user_id""")
+def replica_quorum(spark, sf):
+    n = events(spark, sf).groupBy(F.col("user_id").alias("shard")).agg(F.count("*").alias("replicas"), F.count_if(F.col("event_id") % 3 != 0).alias("in_sync"))
+    return n.withColumn("quorum", R.replica_quorum(F.col("in_sync"), F.col("replicas")))
+
+
 @query("SELECT user_id % 10 AS tenant, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id DESC) <= 20")
 def audit_recent(spark, sf):
     return R.newest(events(spark, sf).select((F.col("user_id") % 10).alias("tenant"), "event_id", "event_type"), 20, "tenant", "event_id")

@@ -234,6 +234,9 @@ FILTERS = {
     "filter_prefix": (flt.Prefix("category", "cat_1"), "starts_with(category, 'cat_1')"),
     "filter_contains": (flt.Contains("category", "_2"), "contains(category, '_2')"),
     "filter_string_range": (flt.Between("category", ("cat_2", "cat_5")), "category BETWEEN 'cat_2' AND 'cat_5'"),
+    "filter_text_less": (flt.TextLess("label", 3), "label::VARCHAR < '3'"),
+    "filter_text_greater": (flt.TextGreater("vec_id", "9"), "vec_id::VARCHAR > '9'"),
+    "filter_has_all": (flt.HasAll("tags", ["t1", "all"]), "list_contains(tags, 't1') AND list_contains(tags, 'all')"),
     "filter_in": (flt.In("category", ["cat_1", "cat_9"]), "category IN ('cat_1', 'cat_9')"),
     "filter_exists": (flt.Exists("category"), "category IS NOT NULL"),
     "filter_and": (flt.Eq("category", "cat_4") & flt.Gt("price", 1000), "category = 'cat_4' AND price > 1000"),
@@ -298,6 +301,14 @@ def delete_by_filter(spark, sf):
     return left.groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 7 ELSE label END AS label, CASE WHEN vec_id % 4 <> 0 THEN category END AS category FROM {TYPED} t")
+def update_by_id(spark, sf):
+    """A row that is written anew keeps only what is written."""
+    rows = typed(spark, sf)
+    new = rows.filter("vec_id % 4 = 0").select("vec_id", "embedding", F.lit(7).alias("label"))
+    return Collection("c", 64, rows).update(new).rows.select("vec_id", "label", "category")
+
+
 @query(f"SELECT CASE WHEN coalesce(category = 'cat_2', FALSE) THEN 'updated' ELSE category END AS category, count(*) AS n FROM {TYPED} t GROUP BY ALL")
 def update_by_filter(spark, sf):
     rows = Collection("c", 64, typed(spark, sf)).update_by_filter(flt.Eq("category", "cat_2"), category="updated").rows

@@ -103,3 +103,51 @@ for master in ("spark://x:1", "local-cluster[2,1,512]", "yarn"):
     raise AssertionError(master)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_ids_of_equal_rows(spark):
+    from quiverlake.operators.catalog import with_ids
+
+    got = with_ids(spark.createDataFrame([(None, "x")] * 50 + [("mine", "x")], "id string, v string").repartition(3))
+    ids = [r.id for r in got.collect()]
+    assert len(set(ids)) == 51 and sorted(ids) == sorted(r.id for r in got.collect())
+
+
+def test_updates_patches_and_snapshots_of_a_collection(spark, tmp_path):
+    from quiverlake.sources.tables import Snapshots
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0], {"a": "x"}), (2, [0.0, 1.0], {"b": "y"})], "vec_id long, embedding array<double>, metadata map<string,string>")
+    c = C.Collection("c", 2, rows)
+    c.patch(spark.createDataFrame([(1, {"a": "z", "c": "w"})], "vec_id long, patch map<string,string>"))
+    assert c.get(1).first().metadata == {"a": "z", "c": "w"}
+    c.update(spark.createDataFrame([(2, [5.0, 5.0])], "vec_id long, embedding array<double>"))
+    assert c.get(2).first().embedding == [5.0, 5.0] and c.get(2).first().metadata is None and c.info().first()["rows"] == 2
+    with pytest.raises(C.EngineError) as e:
+        c.update(spark.createDataFrame([(9, [5.0, 5.0])], "vec_id long, embedding array<double>"))
+    assert e.value.code == 1401
+    small = C.Collection("s", 2, rows.drop("metadata"))
+    assert small.snapshot(Snapshots(spark, str(tmp_path / "s")), 5).first().n == 2
+    assert Snapshots(spark, str(tmp_path / "s")).restore(5, []).count() == 2
+
+
+def test_slots(spark):
+    from quiverlake.operators import fusion, quantize
+
+    schema = "doc_id long, slot string, dense array<double>, sparse map<int,double>"
+    slots = spark.createDataFrame([(1, "title", [1.0], None), (2, "title", [2.0], None)], schema)
+    new = spark.createDataFrame([(1, "title", [9.0], None), (1, "terms", None, {3: 1.0}), (3, "bad name", [1.0], None), (4, "both", [1.0], {1: 1.0})], schema)
+    got = fusion.set_slot(slots, new)
+    assert sorted((r.doc_id, r.slot) for r in got.collect()) == [(1, "terms"), (1, "title"), (2, "title")]
+    assert fusion.get_slot(got, 1, "title").first().dense == [9.0] and fusion.get_slot(got, 2, "terms").isEmpty()
+    assert sorted(r.doc_id for r in fusion.documents_with(got, "title").collect()) == [1, 2]
+    assert fusion.remove_slot(got, new.filter("slot = 'title'")).count() == 2
+    assert quantize.lookup_table_bytes(8, 256) == 8192 and C.needs_compaction(50_000) and not C.needs_compaction(49_999)
+
+
+def test_comparisons_need_numbers():
+    from quiverlake.operators import filters as flt
+
+    for bad in ("3", None, True):
+        with pytest.raises(C.EngineError) as e:
+            flt.Lt("price", bad)
+        assert e.value.code == 1702
