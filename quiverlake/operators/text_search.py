@@ -17,17 +17,22 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col), F.size(tokens(text)).cast("long").alias("len"))
+    """id, len and n_terms: the words of each document, and the different ones."""
+    words = docs.select(F.col(id_col), tokens(text).alias("__words"))
+    return words.select(id_col, F.size("__words").cast("long").alias("len"), F.size(F.array_distinct("__words")).cast("long").alias("n_terms"))
 
 
 def idf_of(n, df):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def idf(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, df and idf of the whole vocabulary."""
+def idf(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df and idf of the whole vocabulary; each row is a document, as in :func:`bm25`.
+
+    A document's words are made distinct where it is read, so a task sends one count of each term: no postings are shuffled.
+    """
     n = docs.agg(F.count("*").alias("n"))
-    df = postings(docs, id_col, text).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf_of(F.col("n"), F.col("df")).alias("idf"))  # n is one row
 
 

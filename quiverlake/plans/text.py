@@ -59,9 +59,7 @@ def idf(spark, sf):
 
 @query(f"SELECT doc_id, len(words) AS len, count(DISTINCT w) AS n_terms FROM (SELECT doc_id, words, unnest(words) AS w FROM {WORDS} x) GROUP BY ALL")
 def postings_stats(spark, sf):
-    d = documents(spark, sf)
-    terms = text_search.postings(d).groupBy("doc_id").agg(F.count("*").alias("n_terms"))
-    return text_search.lengths(d).join(terms, "doc_id").select("doc_id", "len", "n_terms")
+    return text_search.lengths(documents(spark, sf)).filter("len > 0")
 
 
 # --- sparse vectors: the large components of embeddings -------------------------------------------------------------

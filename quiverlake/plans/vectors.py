@@ -9,7 +9,7 @@ from ..functions import vector as V
 from ..operators import filters as flt
 from ..operators import knn as K
 from ..operators.collection import Collection
-from ..operators.duplicates import duplicates
+from ..operators.duplicates import duplicates, near_pairs
 from ..operators.quantize import center, per_dimension
 from ..operators.stats import field_values
 from ..sources.tables import read
@@ -205,12 +205,8 @@ def repeated_vectors(spark, sf):
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6""")
 def near_duplicates_in_label(spark, sf):
-    """Pairs of one label with a cosine of 0.6 or more: block products among each label's rows would do the same; here
-    the label is the blocking key of a self-join."""
-    e = embeddings(spark, sf)
-    a, b = (e.select("label", F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}")) for n in "ab")
-    pairs = a.join(b, "label").filter("a < b").filter(V.near("va", "vb", 0.6))
-    return pairs.select("a", "b", F.round(V.dot("va", "vb"), 5).alias("similarity"))
+    """Pairs of one label with a cosine of 0.6 or more, by block products."""
+    return near_pairs(embeddings(spark, sf), "label", 0.6).select("a", "b", F.round("dot", 5).alias("similarity"))
 
 
 # --- filters --------------------------------------------------------------------------------------------------------

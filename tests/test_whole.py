@@ -88,3 +88,25 @@ def test_blocks_with_distances_that_rounding_makes_equal(spark):
     for metric in ("l2", "cosine", "ip"):
         a, b = (sorted(map(tuple, f(rows, asked, 5, metric).select("qid", "rk", "vec_id", "distance").collect())) for f in (knn.knn_batch, knn.knn_blocks))
         assert a == b
+
+
+# --- near pairs -----------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("group", [4_096, 16])
+def test_near_pairs(spark, group):
+    from pyspark.sql import functions as F
+
+    from quiverlake.functions.vector import near
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(160, 6))
+    v[150:] = 0
+    v[40:60] = v[40] * np.arange(1, 21)[:, None]  # one direction
+    rows = [(i, 1 if i % 3 else i % 2, x.tolist()) for i, x in enumerate(v)]
+    odd = [(200, 1, None), (201, 1, [None] * 6), (202, 1, [float("nan")] * 6), (203, None, [1.0] * 6), (None, 1, [1.0] * 6), (204, 1, [1.0] * 5), (205, 1, [2.0] * 5), (205, 1, [2.0] * 5), (206, 1, []), (207, 1, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, label int, embedding array<double>").repartition(5)
+    got = [tuple(r) for r in duplicates.near_pairs(df.withColumn("own", F.lit(1)), "label", 0.6, group=group).select("a", "b").collect()]
+    good = df.filter("vec_id != 202 and label is not null")
+    pairs = good.alias("x").join(good.alias("y"), F.expr("x.label = y.label and x.vec_id < y.vec_id and size(x.embedding) = size(y.embedding)"))
+    want = [tuple(r) for r in pairs.filter(near("x.embedding", "y.embedding", 0.6)).select("x.vec_id", "y.vec_id").collect()]
+    assert sorted(got) == sorted(want) and {(40, 41), (204, 205), (206, 207)} <= set(got) and (205, 205) not in got
+    assert duplicates.near_pairs(df.limit(0), "label", 0.6).count() == 0
