@@ -28,6 +28,10 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+def cosine_distance(a: Column | str, b: Column | str) -> Column:
+    return 1 - cosine_similarity(a, b)
+
+
 def jaccard_similarity(a: Column | str, b: Column | str) -> Column:
     """Of the dimensions; two empty vectors are alike, an empty one is like no other."""
     ka, kb = F.map_keys(_col(a)), F.map_keys(_col(b))

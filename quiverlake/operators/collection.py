@@ -77,6 +77,28 @@ def delete(table: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFram
     return table.join(ids.select(id_col).distinct(), id_col, "left_anti")
 
 
+def statuses(table: DataFrame, ops: DataFrame, dim: int, policy: str = "overwrite", id_col: str = "vec_id", seq: str = "seq", vector: str = "embedding") -> DataFrame:
+    """``ops`` (seq, op insert or delete, id, vector) with error: null, or the code of why the operation does nothing.
+
+    Operations of an id are in order of ``seq``, so a delete sees the inserts before it in the batch, and an insert that
+    fails leaves the id as it was. Deletes of an id that is not there, vectors that are none or of another length, and under
+    the reject policy inserts of an id that is there, are errors. Other operations are invalid. An id's operations are one
+    ordered stream, which spills; nothing is collected.
+    """
+    bad = F.when(~F.coalesce(F.col("op").isin("insert", "delete"), F.lit(False)) | F.col(id_col).isNull(), EngineError.INVALID)
+    bad = F.when(bad.isNotNull(), bad).when((F.col("op") == "insert") & ~is_valid(vector), EngineError.INVALID).when((F.col("op") == "insert") & (F.size(vector) != dim), EngineError.DIMENSION)
+    known = table.select(id_col).distinct().withColumn("__there", F.lit(True))
+    marked = ops.withColumn("__bad", bad).join(known, id_col, "left")
+    # whatever it meets, a sound insert leaves its id there, and a delete leaves it not there
+    before = Window.partitionBy(id_col).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("__bad").isNull(), F.col("op") == "insert"), ignorenulls=True).over(before)
+    there = F.coalesce(last, F.col("__there"), F.lit(False))
+    error = F.when(F.col("__bad").isNotNull(), F.col("__bad")).when((F.col("op") == "delete") & ~there, EngineError.NOT_FOUND)
+    if policy == "reject":
+        error = error.when((F.col("op") == "insert") & there, EngineError.DUPLICATE)
+    return marked.withColumn("error", error).select(*ops.columns, "error")
+
+
 def patch_metadata(table: DataFrame, patches: DataFrame, id_col: str = "vec_id", column: str = "metadata") -> DataFrame:
     """Merges each patch (id, patch map; one for an id) into the row's map; of a key in both the patch counts."""
     both = table.join(patches.select(id_col, F.col("patch").alias("__p")), id_col, "left")
@@ -173,6 +195,22 @@ def compaction_counts(buffer: DataFrame, tombstones: DataFrame, now_ms: int, ttl
     return marked.agg(F.count("*").alias("drained"), F.count_if("e").alias("expired"), F.count_if(~F.col("e") & F.col("d")).alias("tombstoned"), F.count_if(~F.col("e") & ~F.col("d")).alias("emitted"))
 
 
+#: Why a row may be a tombstone.
+REASONS = ("user_delete", "ttl_expired", "update_overwrite")
+
+
+def bury(rows: DataFrame, reason: str, ts: int | Column, id_col: str = "id") -> DataFrame:
+    """Tombstones (id, reason, ts) of rows, one for an id."""
+    if reason not in REASONS:
+        raise EngineError(EngineError.INVALID, f"no reason {reason}")
+    return rows.groupBy(id_col).agg(F.max(F.lit(ts) if isinstance(ts, int) else ts).cast("long").alias("ts")).select(id_col, F.lit(reason).alias("reason"), "ts")
+
+
+def tombstone_stats(tombstones: DataFrame, cutoff: int) -> DataFrame:
+    """Of each reason: tombstones, and those that a cleanup at ``cutoff`` removes."""
+    return tombstones.groupBy("reason").agg(F.count("*").alias("total"), F.count_if(F.col("ts") <= cutoff).alias("cleaned"))
+
+
 def cleanup_tombstones(tombstones: DataFrame, cutoff: int) -> DataFrame:
     return tombstones.filter(F.col("ts") > cutoff)
 
@@ -229,9 +267,20 @@ def fallback(snapshots: DataFrame, before: int, by: str = "collection") -> DataF
     return snapshots.filter((F.col("ts") < before) & F.col("valid")).groupBy(by).agg(F.max("ts").alias("ts"))
 
 
-def checksum(rows: DataFrame) -> DataFrame:
-    """n and a checksum that do not depend on the order of rows: the sum of their hashes."""
-    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("checksum"))
+def checksum(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """n and a checksum (a number in text) that do not depend on the order of rows, of all or of each value of ``by``: the sum
+    of the first 60 bits of each row's SHA-256, of its columns as JSON. Rows that repeat count as often."""
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c != by]), {"ignoreNullFields": "false"})
+    part = F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    group = rows.groupBy(by) if by else rows.groupBy()
+    return group.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
+
+
+def verified(rows: DataFrame, manifest: DataFrame, by: str = "ts") -> DataFrame:
+    """``by`` and valid of each snapshot of the manifest (``by``, n, checksum): whether its rows are there as they were written."""
+    now = checksum(rows, by).select(by, F.col("n").alias("__n"), F.col("checksum").alias("__c"))
+    same = (F.coalesce("__n", F.lit(0)) == F.col("n")) & (F.coalesce("__c", F.lit("0")) == F.col("checksum"))
+    return manifest.join(now, by, "left").select(by, same.alias("valid"))
 
 
 # --- a façade -------------------------------------------------------------------------------------------------------

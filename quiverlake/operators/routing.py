@@ -30,6 +30,12 @@ def range_shard(key: Column, bounds: list[tuple[str, str]]) -> Column:
     return out
 
 
+def even_ranges(shards: int) -> list[tuple[str, str]]:
+    """The ranges of 32-digit hexadecimal keys by their first two digits; from the 256th on the bounds wrap."""
+    bound = lambda i: f"{i % 256:02x}" + "0" * 30
+    return [(bound(i), bound(i + 1)) for i in range(shards)]
+
+
 def length_shard(key: Column, shards: int) -> Column:
     return F.pmod(F.octet_length(key), F.lit(shards))
 
@@ -147,6 +153,23 @@ def validated(requests: DataFrame, tenants: DataFrame, collections: DataFrame) -
     return known.select(*requests.columns, error.alias("error"))
 
 
+#: Requests a second, bytes, vectors of a collection and collections that a tier allows; none: no limit.
+TIERS = {"free": (100, 1 << 30, 1_000_000, 10), "pro": (1_000, 100 << 30, 100_000_000, 100), "enterprise": (None, None, None, None)}
+
+
+def tier_use(usage: DataFrame) -> DataFrame:
+    """``usage`` (tenant, tier, qps, bytes, vectors, collections, ...) with within, whether all are at most what the tier allows
+    (an unknown tier allows nothing), and remaining, the percentage of its bytes that is left, in whole numbers from 0."""
+    names = ("qps", "bytes", "vectors", "collections")
+    limit = lambda i: F.coalesce(*[F.when(F.col("tier") == t, F.lit(float("inf") if v[i] is None else float(v[i]))) for t, v in TIERS.items()], F.lit(0.0))
+    within = F.lit(True)
+    for i, name in enumerate(names):
+        within = within & (F.col(name) <= limit(i))
+    used = F.floor(F.col("bytes") * 100.0 / limit(1))
+    left = F.when(limit(1) == 0, F.lit(0)).otherwise(F.greatest(F.lit(100) - used, F.lit(0)))
+    return usage.withColumns({"within": within, "remaining": left.cast("long")})
+
+
 def replica_quorum(in_sync: Column, replicas_: Column) -> Column:
     """Whether the replicas in sync, with the leader, are a majority of all."""
     return in_sync + 1 >= F.floor((replicas_ + 2) / 2)

@@ -193,12 +193,31 @@ def snapshot_fallback(spark, sf):
     return C.fallback(_snaps(spark, sf), 5000)
 
 
-@query()
+SUMS = """(SELECT ts, count(*) AS n, sum(('0x' || substr(sha256('{"vec_id":' || vec_id || ',"label":' || label || '}'), 1, 15))::BIGINT)::VARCHAR AS checksum
+  FROM (SELECT vec_id % 4 AS ts, vec_id, label FROM embeddings) GROUP BY ts)"""
+
+
+@query("SELECT n, checksum FROM " + SUMS.replace("vec_id % 4 AS ts", "0 AS ts") + " s")
 def snapshot_checksum(spark, sf):
-    """The checksum is Spark's own hash; tests hold it against rows in another order."""
     return C.checksum(embeddings(spark, sf).select("vec_id", "label"))
 
 
+def _parts(spark, sf):
+    return embeddings(spark, sf).select((F.col("vec_id") % 4).alias("ts"), "vec_id", "label")
+
+
+@query(f"SELECT ts, n, checksum FROM {SUMS} s")
+def snapshot_manifest(spark, sf):
+    return C.checksum(_parts(spark, sf), "ts")
+
+
+@query("SELECT vec_id % 4 AS ts, vec_id % 4 <> 3 AS valid FROM embeddings GROUP BY ALL")
+def snapshot_verify(spark, sf):
+    """Of the snapshots one has changed since its checksum was taken."""
+    changed = F.col("label") + F.when(F.col("ts") == 3, 1).otherwise(0)
+    return C.verified(_parts(spark, sf).withColumn("label", changed.cast("int")), C.checksum(_parts(spark, sf), "ts"))
+
+
 @query("SELECT 'recovering' AS state, max(event_id) FILTER (WHERE event_type = 'signup' AND event_id % 3 <> 0) AS base, count(*) FILTER (WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup' AND event_id % 3 <> 0)) AS replay FROM events")
 def crash_recovery(spark, sf):
     return recovery_plan(_snaps(spark, sf), events(spark, sf).select(F.col("event_id").alias("seq")))

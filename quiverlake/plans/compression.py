@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import knn as K
 from ..operators import quantize as Z
 from ..sources.scratch import stored
-from .registry import query
+from .registry import many, query
 from .vectors import VECTOR, VECTOR_SQL, embeddings, five
 
 M, CODES, DIM = 8, 16, 64
@@ -115,13 +115,27 @@ def pq_decode_error(spark, sf):
 ADC = f"""(SELECT vec_id, sqrt(sum(pow(list_distance(c, list_slice({VECTOR_SQL}, sub * 8 + 1, sub * 8 + 8)), 2))) AS d FROM {NEAR} n JOIN {BOOK} b USING (sub, code) GROUP BY vec_id)"""
 
 
-@query(f"SELECT vec_id, round(d, 5) AS distance FROM {ADC} a ORDER BY round(d, 5), vec_id LIMIT 10")
-def pq_adc_knn(spark, sf):
-    book = first_book(spark, sf)
-    coded = Z.pq_encode(embeddings(spark, sf), book, M, DIM)
-    table = Z.books(book).select(Z.lookup_table(F.array(*map(F.lit, VECTOR)), F.col("book"), M, DIM).alias("lut"))
-    scored = coded.crossJoin(F.broadcast(table)).select("vec_id", F.round(Z.adc_distance(F.col("code"), F.col("lut")), 5).alias("distance"))
-    return scored.orderBy("distance", "vec_id").limit(10)
+def _adc(metric):
+    def run(spark, sf):
+        book = first_book(spark, sf)
+        coded = Z.pq_encode(embeddings(spark, sf), book, M, DIM)
+        table = Z.books(book).select(Z.lookup_table(F.array(*map(F.lit, VECTOR)), F.col("book"), M, DIM, metric).alias("lut"))
+        scored = coded.crossJoin(F.broadcast(table)).select("vec_id", F.round(Z.adc_distance(F.col("code"), F.col("lut"), metric), 5).alias("distance"))
+        return scored.orderBy("distance", "vec_id").limit(10)
+
+    return run
+
+
+def _adc_sql(one: str) -> str:
+    part = one.format(f"list_inner_product(c, list_slice({VECTOR_SQL}, sub * 8 + 1, sub * 8 + 8))")
+    return f"SELECT vec_id, round(sum({part}), 5) AS distance FROM {NEAR} n JOIN {BOOK} b USING (sub, code) GROUP BY vec_id ORDER BY distance, vec_id LIMIT 10"
+
+
+many({
+    "pq_adc_knn": (_adc("l2"), f"SELECT vec_id, round(d, 5) AS distance FROM {ADC} a ORDER BY round(d, 5), vec_id LIMIT 10"),
+    "pq_adc_cosine": (_adc("cosine"), _adc_sql("1 - {}")),
+    "pq_adc_ip": (_adc("ip"), _adc_sql("-{}")),
+})
 
 
 @query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {VECTOR_SQL}), 5) AS distance FROM embeddings JOIN (SELECT vec_id FROM {ADC} a ORDER BY d, vec_id LIMIT 40) USING (vec_id) ORDER BY list_distance(embedding::DOUBLE[], {VECTOR_SQL}), vec_id LIMIT 10")

@@ -32,15 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN_FOLDER}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when this process ends."""
+    path = f"{shared_folder(spark)}/quiverlake/{name}-{uuid.uuid4().hex}"
+    _LEFT.append(_remover(spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str = "table", partition_by: str | None = None, **options: str) -> DataFrame:
     """``df`` written as a table in the shared folder, and read again; ``options`` are the Parquet writer's.
 
     This cuts the lineage: a lost executor costs at most a read of that table. Spark's committer makes sure that
     a task which runs twice leaves its rows once. The table goes when this process ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/quiverlake/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     (df.write.partitionBy(partition_by) if partition_by else df.write).options(**options).parquet(path)
-    _LEFT.append(_remover(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,6 +21,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return out.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """``key``, a and b (ids), ts of the events of ``right`` (key, id, ts) that follow one of ``left`` by at most ``within``. Watermarks
+    and the range of times bound the state of a stream; tables join alike."""
+    a = left.select(F.col(key), F.col("id").alias("a"), F.col("ts").cast("timestamp").alias("ta")).withWatermark("ta", late)
+    b = right.select(F.col(key).alias("__key"), F.col("id").alias("b"), F.col("ts").cast("timestamp").alias("tb")).withWatermark("tb", late)
+    near = (F.col(key) == F.col("__key")) & (F.col("tb") >= F.col("ta")) & (F.col("tb") <= F.col("ta") + F.expr(f"interval {within}"))
+    return a.join(b, near).select(key, "a", "b", F.col("tb").alias("ts"))
+
+
 def unique_ops(ops: DataFrame, key: str = "op_key", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Drops operations that repeat within the watermark: bounded state."""
     return ops.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
