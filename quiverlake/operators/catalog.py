@@ -159,11 +159,12 @@ class Migration:
 
 
 # --- recovery -------------------------------------------------------------------------------------------------------
-def recovery_plan(snapshots: DataFrame, feed: DataFrame) -> DataFrame:
+def recovery_plan(snapshots: DataFrame, feed: DataFrame, crashed: bool = False) -> DataFrame:
     """state (empty, ready, recovering or corrupted), the snapshot to start from and the operations to replay after it.
 
-    ``snapshots`` has ts and valid, ``feed`` has seq, on one scale."""
+    ``snapshots`` has ts and valid, ``feed`` has seq, on one scale. After a crash (``crashed``) what has a valid snapshot is
+    recovering until that is loaded, also where nothing is to be replayed."""
     best = snapshots.agg(F.max(F.when(F.col("valid"), F.col("ts"))).alias("base"), F.count("*").alias("n"))
     ops = feed.crossJoin(F.broadcast(best)).agg(F.count_if(F.col("seq") > F.coalesce("base", F.lit(-1))).alias("replay"))
-    state = F.when((F.col("n") == 0) & (F.col("replay") == 0), "empty").when((F.col("n") > 0) & F.col("base").isNull(), "corrupted").when(F.col("replay") > 0, "recovering").otherwise("ready")
+    state = F.when((F.col("n") == 0) & (F.col("replay") == 0), "empty").when((F.col("n") > 0) & F.col("base").isNull(), "corrupted").when((F.col("replay") > 0) | F.lit(crashed), "recovering").otherwise("ready")
     return best.crossJoin(ops).select(state.alias("state"), "base", "replay")
