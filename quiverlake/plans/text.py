@@ -64,7 +64,8 @@ def postings_stats(spark, sf):
 
 # --- sparse vectors: the large components of embeddings -------------------------------------------------------------
 def sparse(spark, sf):
-    large = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.abs(p["x"]) > 0.15)
+    limit = F.lit(0.15).cast("float")  # a double would let the float nearest to 0.15 through
+    large = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.abs(p["x"]) > limit)
     return embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), F.map_from_entries(large).alias("sparse"))
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__ as entry
 
@@ -26,3 +27,10 @@ def test_crash_after_the_newest_snapshot(spark, tmp_path):
     events = pa.table({"event_id": pa.array([1, 2, 4], pa.int64()), "user_id": pa.array([1, 2, 3], pa.int64()), "event_type": ["view", "error", "signup"]})
     got, want = both(spark, tmp_path, "crash_recovery", events=events)
     assert got == want == ["[4, 0, 'recovering']"]
+
+
+@pytest.mark.parametrize("name", ["sparse_stats", "multivector_dims", "multivector_stats"])
+def test_components_at_the_limit(spark, tmp_path, name):
+    rows = vectors(*[[0.15, -0.15, 0.2, 0.1500001] + [0.0] * 60 for _ in range(6)])
+    got, want = both(spark, tmp_path, name, embeddings=rows)
+    assert got == want
