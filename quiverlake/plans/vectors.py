@@ -149,7 +149,8 @@ def recall_at_k(spark, sf):
   round(list_distance(embedding::DOUBLE[], list_transform(embedding, lambda y: 0.0::DOUBLE)), 5) AS norm FROM embeddings""")
 def normalize(spark, sf):
     e = embeddings(spark, sf)
-    return e.select("vec_id", F.transform(V.normalize("embedding"), lambda x: F.round(x, 5)).alias("unit"), F.round(V.norm("embedding"), 5).alias("norm"))
+    signed = lambda x: F.when(F.round(x, 5) == 0, x * F.lit(0.0)).otherwise(F.round(x, 5))  # noqa: E731  round() would lose the sign of a zero
+    return e.select("vec_id", F.transform(V.normalize("embedding"), signed).alias("unit"), F.round(V.norm("embedding"), 5).alias("norm"))
 
 
 MEANS = "(SELECT list(m ORDER BY dim) AS mean FROM (SELECT i AS dim, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY i))"

@@ -34,3 +34,8 @@ def test_components_at_the_limit(spark, tmp_path, name):
     rows = vectors(*[[0.15, -0.15, 0.2, 0.1500001] + [0.0] * 60 for _ in range(6)])
     got, want = both(spark, tmp_path, name, embeddings=rows)
     assert got == want
+
+
+def test_normalize_keeps_the_sign_of_a_zero(spark, tmp_path):
+    got, want = both(spark, tmp_path, "normalize", embeddings=vectors([1.0, -1e-6, 1e-6, -0.0] + [0.0] * 60))
+    assert got == want and "-0.0" in got[0]
