@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import metric as metric_of
 
 #: The most queries that are broadcast or sent to tasks (64 dimensions in double: half a megabyte for 1,000).
 MAX_QUERIES = 20_000
+#: Queries that a task holds while rows go by (64 dimensions in double: 32 megabytes).
+GROUP = 65_536
 
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -55,30 +56,33 @@ def in_range(rows: DataFrame, queries: DataFrame, radius: float, metric: str = "
     return rows.select(id_col, vector).crossJoin(_few(queries.select("qid", "qv"))).select("qid", id_col, distance.alias("distance")).filter(F.col("distance") <= radius)
 
 
-def _blocks(rows: DataFrame, size: int, k: int) -> DataFrame:
-    """dim, part, ids and vs (one vector after the other): rows (id, v) as they are read, ``size`` together. Of equal vectors
-    only the k smallest ids of a block can be among the k nearest, so the others of the block are left out."""
+def _blocks(rows: DataFrame, size: int, copies: int | None = None) -> DataFrame:
+    """part, key, dim, ids and vs (one vector after the other): rows (part, key, id, v) as they are read, ``size`` of one part,
+    key and length together. Of equal vectors of a block only the ``copies`` smallest ids can be
+    among as many nearest, so the others are left out."""
+    number = rows.schema["v"].dataType.elementType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        kind = {"float": pa.float32(), "double": pa.float64()}[number]
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                own = batch.slice(at, size)
-                ids, v = own.column(0).to_numpy(), own.column(1)
-                lengths, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
-                ends = np.cumsum(lengths)
-                for dim in np.unique(lengths).tolist():
-                    mine = np.flatnonzero(lengths == dim)
-                    x = flat[(ends[mine] - dim)[:, None] + np.arange(dim)] if dim else np.zeros((len(mine), 0))
-                    often, kept = Counter(), []
-                    for i in np.argsort(ids[mine], kind="stable"):
-                        often[row := x[i].tobytes()] += 1
-                        if often[row] <= k:
-                            kept.append(i)
-                    part += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part], pa.int32()), pa.array([ids[mine[kept]]], pa.list_(pa.int64())), pa.array([x[kept].ravel()], pa.list_(pa.float64()))], ["dim", "part", "ids", "vs"])
-
-    return rows.mapInArrow(pack, "dim int, part int, ids array<long>, vs array<double>")
+            parts, keys, ids, v = *(batch.column(c).to_numpy() for c in range(3)), batch.column(3)
+            lengths, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
+            ends = np.cumsum(lengths)
+            for part, key, dim in sorted(set(zip(parts.tolist(), keys.tolist(), lengths.tolist(), strict=True))):
+                alike = np.flatnonzero((parts == part) & (keys == key) & (lengths == dim))
+                for at in range(0, len(alike), size):
+                    mine = alike[at : at + size]
+                    x = flat[(ends[mine] - dim)[:, None] + np.arange(dim)] if dim else np.zeros((len(mine), 0), flat.dtype)
+                    kept = np.arange(len(mine))
+                    if copies is not None:
+                        often, kept = Counter(), []
+                        for i in np.argsort(ids[mine], kind="stable"):
+                            often[row := x[i].tobytes()] += 1
+                            if often[row] <= copies:
+                                kept.append(i)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([key], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids[mine[kept]]], pa.list_(pa.int64())), pa.array([x[kept].ravel()], pa.list_(kind))], ["part", "key", "dim", "ids", "vs"])
+
+    return rows.mapInArrow(pack, f"part int, key int, dim int, ids array<long>, vs array<{number}>")
 
 
 class _Best:
@@ -91,9 +95,7 @@ class _Best:
         self.last = np.full(len(q), np.inf)
 
     def _exact(self, i: np.ndarray, v: np.ndarray) -> np.ndarray:
-        w = self.q[i]
-        added = lambda terms: np.cumsum(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))  # noqa: E731  one by one, as the metrics do: equal to the last bit
-        return {"l2": lambda: np.sqrt(added((v - w) ** 2)), "cosine": lambda: 1 - added(v * w), "ip": lambda: -added(v * w)}[self.metric]()
+        return exact(self.metric, self.q[i], v)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         guess = self.q @ x.T
@@ -103,19 +105,21 @@ class _Best:
         size = {"l2": lambda: (nx + self.norm) ** 2, "cosine": lambda: nx * self.norm + 1, "ip": lambda: nx * self.norm}[self.metric]()
         slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps * size
         bound = {"l2": lambda: self.last**2 - own, "cosine": lambda: self.last - 1, "ip": lambda: self.last}[self.metric]()
+        self._take(ids, guess, bound, slack, lambda i, j: self._exact(i, x[j]))
+
+    def _take(self, ids: np.ndarray, guess: np.ndarray, bound: np.ndarray, slack: np.ndarray | float, distance) -> None:
+        """Keeps what is nearest of a block, by a guess of each distance that may be off by ``slack``."""
         need = self.k + self.skip_own
-        if len(ids) >= need:
+        if len(ids) >= need and not np.isfinite(self.last).all():
             bound = np.fmin(bound, np.partition(guess, need - 1, axis=1)[:, need - 1])
         bound = np.where(np.isnan(bound), np.inf, bound) + 2 * slack
-        step = max(1, 65_536 // max(len(ids), 1))
-        for a in range(0, len(self.q), step):
-            i, j = np.nonzero(~(guess[a : a + step] > bound[a : a + step, None]))  # what is no number goes on, too
-            i += a
-            if self.skip_own:
-                other = ids[j] != self.qids[i]
-                i, j = i[other], j[other]
-            if len(i):
-                self._merge(i, ids[j], self._exact(i, x[j]))
+        i, j = np.nonzero(~(guess > bound[:, None]))  # what is no number goes on, too
+        if self.skip_own:
+            other = ids[j] != self.qids[i]
+            i, j = i[other], j[other]
+        for a in range(0, len(i), 65_536):
+            own = slice(a, a + 65_536)
+            self._merge(i[own], ids[j[own]], distance(i[own], j[own]))
 
     def _merge(self, i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
         touched = np.zeros(len(self.q), bool)
@@ -131,55 +135,104 @@ class _Best:
         self.who, self.ids, self.d = np.r_[self.who[~old], who[top]], np.r_[self.ids[~old], ids[top]], np.r_[self.d[~old], d[top]]
 
 
-def knn_blocks(
-    rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
-    block: int = 1_024, skip_own: bool = False,
-) -> DataFrame:
-    """As knn_batch for l2, cosine and ip and any number of queries, by matrix products.
+def exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of rows of doubles, their terms added one by one, as the metrics do: equal to the last bit."""
+    added = lambda terms: np.cumsum(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))
+    return {"l2": lambda: np.sqrt(added((b - a) ** 2)), "cosine": lambda: 1 - added(b * a), "ip": lambda: -added(b * a)}[metric]()
 
-    Rows are packed into blocks where they are read, queries into groups of about ``block``. A task keeps the k best of one
-    group while row blocks stream past it, one product each, so its memory and what it returns do not grow with the rows. A
-    group is dealt to several tasks, each with a share of the row blocks, only where there are fewer groups than cores.
-    What may be among the k best but for rounding is computed again as knn_batch does, then ordered with ties by id.
 
-    Null ids, and vectors that are null or hold a null, take no part; only vectors of one length meet. Query ids are unique.
-    With ``skip_own`` a row with the query's own id is no neighbour of it.
+def tasks_wanted(spark: SparkSession) -> int:
+    return 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _shares(n: int, queries: int, row_bytes: int, query_bytes: int, tasks: int) -> tuple[int, int]:
+    """Groups of queries and shares of rows, ``tasks`` or more together, so that the least is shuffled: each group meets all
+    shares. A group has GROUP queries at most, but there are no more than ``tasks`` groups, so what is shuffled grows as
+    the input."""
+    first = min(max(1, -(-queries // GROUP)), tasks)
+    choices = [(g, -(-tasks // g)) for g in range(first, max(first, min(tasks, queries)) + 1)]
+    return min(choices, key=lambda c: c[0] * n * row_bytes + c[1] * queries * query_bytes)
+
+
+def nearest_blocks(
+    rows: DataFrame, asked: DataFrame, k: int, best, width: tuple[int, int], keys: int = 1, id_col: str = "vec_id", block: int = 1_024, copies: int | None = None,
+) -> DataFrame:
+    """qid, rk, id and distance of the k best rows (key, id, v) for each query (key, id, v) of the same key (0 to ``keys`` - 1).
+
+    Queries are dealt into groups, rows into shares, by the hash of their ids. Each group meets each share in a task of its own,
+    which holds the queries in blocks, each with its k best (``best`` makes that of ids and vectors), while row blocks stream
+    past. ``width`` is what a row and a query take, in bytes.
     """
-    if metric not in ("l2", "cosine", "ip"):
-        raise ValueError(f"no matrix form of {metric}")
-    spark = rows.sparkSession
-    whole = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null)")
-    rows, asked = whole(rows, id_col, vector), whole(queries, "qid", "qv")
-    groups = max(1, -(-asked.count() // block))
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = max(1, -(-2 * cores // groups))
+    n, m, tasks = rows.count(), asked.count(), tasks_wanted(rows.sparkSession)
+    groups, salts = _shares(n, m, width[0], width[1] + 24 * k, -(-tasks // keys))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
-    asked = asked.select("dim", "grp", each(salts).alias("salt"), F.lit(0).alias("kind"), F.col("x.id").alias("ids"), F.flatten("x.v").alias("vs"))
-    packed = _blocks(rows, block, k + skip_own).select("dim", each(groups).alias("grp"), F.pmod("part", F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "ids", "vs")
-    tasks = max(min(groups * salts, 4 * cores), 1)
-    dealt = asked.union(packed).repartition(tasks, "dim", "grp", "salt").sortWithinPartitions("dim", "grp", "salt", "kind")
+
+    def packed(df: DataFrame, shares: int, count: int, copies: int | None = None) -> DataFrame:
+        parts = shares * max(1, min(-(-tasks // shares), count // (shares * block)))  # several tasks pack a large share
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+        return _blocks(df.select(part, "key", "id", "v").repartitionById(parts, F.col("part")), block, copies)
+
+    asked = packed(asked, groups, m).select("key", "dim", (F.col("part") % groups).alias("grp"), each(salts).alias("salt"), F.lit(0).alias("kind"), "ids", "vs")
+    dealt = packed(rows, salts, n, copies).select("key", "dim", each(groups).alias("grp"), (F.col("part") % salts).alias("salt"), F.lit(1).alias("kind"), "ids", "vs")
+    unit = ((F.col("key") * groups + F.col("grp")) * salts + F.col("salt")).cast("int")
+    dealt = asked.union(dealt).repartitionById(keys * groups * salts, unit).sortWithinPartitions("dim", "kind").select("dim", "kind", "ids", "vs")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = best = None
-        done = lambda: pa.RecordBatch.from_arrays([pa.array(best.qids[best.who]), pa.array(best.ids), pa.array(best.d)], ["qid", id_col, "distance"])
+        now, held = None, []
+        done = lambda b: pa.RecordBatch.from_arrays([pa.array(b.qids[b.who]), pa.array(b.ids), pa.array(b.d)], ["qid", id_col, "distance"])
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, grp, salt, kind = (batch.column(c)[r].as_py() for c in range(4))
-                ids, x = batch.column(4)[r].values.to_numpy(), batch.column(5)[r].values.to_numpy()
-                x = x.reshape(len(ids), dim)
+                dim, kind = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                ids, x = batch.column(2)[r].values.to_numpy(), batch.column(3)[r].values.to_numpy()
+                x = x.reshape(len(ids), dim).astype(float)
+                if dim != now:
+                    yield from map(done, held)
+                    now, held = dim, []
                 if not kind:
-                    if best is not None:
-                        yield done()
-                    key, best = (dim, grp, salt), _Best(ids, x, k, metric, skip_own)
-                elif key == (dim, grp, salt):  # else no query has this length
-                    best.add(ids, x)
-        if best is not None:
-            yield done()
+                    held.append(best(ids, x))
+                else:
+                    for b in held:  # none if no query has this length
+                        b.add(ids, x)
+        yield from map(done, held)
 
     return top(dealt.mapInArrow(nearest, f"qid long, `{id_col}` long, distance double"), k, "qid", F.col("distance"), id_col)
 
 
+def _vectors(rows: DataFrame, id_col: str, vector: str, kind: str, key: Column | None = None) -> DataFrame:
+    rows = rows.select((F.lit(0) if key is None else key.cast("int")).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+    return rows.filter("key is not null and id is not null and v is not null and not exists(v, x -> x is null)")
+
+
+def _kind(*vectors: tuple[DataFrame, str]) -> str:
+    """Vectors of floats are shuffled as such."""
+    return "float" if all(df.select(v).schema[0].dataType.simpleString() == "array<float>" for df, v in vectors) else "double"
+
+
+def knn_blocks(
+    rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
+    block: int = 1_024, skip_own: bool = False, key: tuple[str, int] | None = None,
+) -> DataFrame:
+    """As knn_batch for l2, cosine and ip and any number of queries, by matrix products.
+
+    Rows and queries are packed into blocks, queries into groups of up to ``GROUP``. A task keeps the k best of one group
+    while row blocks stream past it, one product for each block of queries, so what it holds and returns does not grow with the
+    rows. Each of few groups is dealt to several tasks, each with a share of the rows. What may be among the k best but for
+    rounding is computed again as knn_batch does, then ordered with ties by id.
+
+    Null ids, and vectors that are null or hold a null, take no part; only vectors of one length meet. Query ids are unique.
+    With ``skip_own`` a row with the query's own id is no neighbour of it. With ``key``, a column of both and the number of
+    its values (0 and up), only rows of the query's own key are neighbours, and a query may have several keys.
+    """
+    if metric not in ("l2", "cosine", "ip"):
+        raise ValueError(f"no matrix form of {metric}")
+    kind = _kind((rows, vector), (queries, "qv"))
+    name, keys = key or (None, 1)
+    of = None if name is None else F.col(name)
+    rows, asked = _vectors(rows, id_col, vector, kind, of), _vectors(queries, "qid", "qv", kind, of)
+    width = 8 + 64 * (4 if kind == "float" else 8)
+    return nearest_blocks(rows, asked, k, lambda ids, x: _Best(ids, x, k, metric, skip_own), (width, width), keys, id_col, block, k + skip_own)
+
+
 def merge_layers(layers: list[DataFrame], k: int, id_col: str = "vec_id") -> DataFrame:
     """The k nearest of several results (id, distance); of an id in more than one layer the first layer's counts."""
     tagged = [layer.select(id_col, "distance").withColumn("layer", F.lit(i)) for i, layer in enumerate(layers)]

@@ -4,8 +4,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quiverlake.operators import knn
 
 
 def both(spark, folder, name, **tables):
@@ -39,3 +41,26 @@ def test_components_at_the_limit(spark, tmp_path, name):
 def test_normalize_keeps_the_sign_of_a_zero(spark, tmp_path):
     got, want = both(spark, tmp_path, "normalize", embeddings=vectors([1.0, -1e-6, 1e-6, -0.0] + [0.0] * 60))
     assert got == want and "-0.0" in got[0]
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_graph_of_all_rows_shuffles_in_proportion(spark):
+    v = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(F.col("id") * 7.7 + i * (F.col("id") % 97)).cast("float"))
+    per_row = []
+    for n in (2_000, 8_000):
+        rows = spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding"))
+        before = shuffled(spark)
+        asked = rows.selectExpr("vec_id as qid", "embedding as qv")
+        assert knn.knn_blocks(rows, asked, 8, block=100, skip_own=True).count() == 8 * n
+        per_row.append((shuffled(spark) - before) / n)
+    assert per_row[1] < 1.2 * per_row[0]
+    tasks = knn.tasks_wanted(spark)
+    for n in (10**5, 10**7, 10**9):
+        groups, salts = knn._shares(n, n, 264, 456, tasks)
+        assert tasks <= groups * salts and groups + salts <= 2 * tasks
