@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2
-from .knn import knn_batch, knn_blocks, top
+from .knn import knn_blocks, top
 
 
-def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding", n: int | None = None) -> DataFrame:
     """src, dst and distance: each row's m nearest less itself, so the m - 1 nearest others, however many are equal to it.
-    Block products, not pairs of rows, and only what is kept is shuffled."""
-    near = knn_blocks(rows, rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")), m - 1, "l2", id_col, vector, skip_own=True)
+    Block products, not pairs of rows, and only what is kept is shuffled. ``n``, the number of rows, saves counting them."""
+    near = knn_blocks(rows, rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")), m - 1, "l2", id_col, vector, skip_own=True, counts=n and (n, n))
     return near.select(F.col("qid").alias("src"), F.col(id_col).alias("dst"), "distance")
 
 
@@ -94,11 +94,11 @@ def ivf_assign(rows: DataFrame, centres: DataFrame, vector: str = "embedding") -
 
 
 def ivf_search(index: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As knn_batch, but only over the ``probes`` cells nearest to each query: a join on the cell, so cells without a
-    query are not read where the index is partitioned by cell."""
+    """As knn_blocks, but only over the ``probes`` cells nearest to each query: queries are dealt to their cells, where block
+    products meet the cell's rows."""
     asked = _cells(queries.select("qid", "qv"), centres, probes, "qv", "__cells").select("qid", "qv", F.explode("__cells").alias("cell"))
-    pairs = index.select("cell", id_col, vector).join(asked, "cell").select("qid", id_col, l2(vector, "qv").alias("distance"))
-    return top(pairs, k, "qid", F.col("distance"), id_col)
+    counts = index.count(), queries.count() * probes
+    return knn_blocks(index, asked, k, "l2", id_col, vector, key=("cell", (centres.agg(F.max("cell")).first()[0] or 0) + 1), counts=counts)
 
 
 def choose_probes(index: DataFrame, centres: DataFrame, k: int, target: float = 0.95, asked: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> int:
@@ -108,7 +108,7 @@ def choose_probes(index: DataFrame, centres: DataFrame, k: int, target: float =
     queries = index.filter(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 40)) < share).select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")).limit(2 * asked)
     n = centres.count()
     order = _cells(queries, centres, n, "qv", "__cells").select("qid", F.posexplode("__cells").alias("rank", "cell"))
-    truth = knn_batch(index, queries, k, "l2", id_col, vector).select("qid", id_col)
+    truth = knn_blocks(index, queries, k, "l2", id_col, vector).select("qid", id_col)
     ranks = sorted(r["rank"] for r in truth.join(index.select(id_col, "cell"), id_col).join(order, ["qid", "cell"]).select("rank").collect())
     return ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)) - 1)] + 1 if ranks else n
 
@@ -118,13 +118,14 @@ def build_layers(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str =
     """layer, src, dst and distance of a layered graph: a node is in all layers up to its hashed level; in each layer it is
     tied to its m nearest there, in both directions, and keeps the nearest 2 m of its edges in layer 0, m above. The
     highest layer is the first with m nodes or fewer, whose nodes are a search's entries; its edges tie all of them."""
-    levelled, out, layer = rows.select(id_col, vector, hashed_level(id_col).alias("level")), None, 0
+    levelled, out = rows.select(id_col, vector, hashed_level(id_col).alias("level")), None
+    sizes, layer = {r["layer"]: r["nodes"] for r in layers(rows, id_col).collect()}, 0
     while True:
-        own = levelled.filter(F.col("level") >= layer)
-        near = edges(own, m + 1, id_col, vector)
-        both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
+        own, n = levelled.filter(F.col("level") >= layer), sizes.get(layer, 0)
+        turned = F.array(F.struct("src", "dst", "distance"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
+        both = edges(own, m + 1, id_col, vector, n).select(F.explode(turned).alias("e")).select("e.*").distinct()
         capped = top(both, 2 * m if layer == 0 else m, "src", F.col("distance"), "dst").drop("rk").select(F.lit(layer).alias("layer"), "src", "dst", "distance")
         out = capped if out is None else out.unionByName(capped)
-        if own.count() <= m:
+        if n <= m:
             return out
         layer += 1

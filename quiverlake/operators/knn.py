@@ -16,6 +16,8 @@ from ..functions.vector import metric as metric_of
 MAX_QUERIES = 20_000
 #: Queries that a task holds while rows go by (64 dimensions in double: 32 megabytes).
 GROUP = 65_536
+#: Pairs for which another task is worth its start.
+PAIRS = 262_144
 
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -85,7 +87,7 @@ def _blocks(rows: DataFrame, size: int, copies: int | None = None) -> DataFrame:
     return rows.mapInArrow(pack, f"part int, key int, dim int, ids array<long>, vs array<{number}>")
 
 
-class _Best:
+class Best:
     """The k nearest so far of a block of queries, while blocks of rows go by."""
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_own: bool):
@@ -155,15 +157,17 @@ def _shares(n: int, queries: int, row_bytes: int, query_bytes: int, tasks: int)
 
 
 def nearest_blocks(
-    rows: DataFrame, asked: DataFrame, k: int, best, width: tuple[int, int], keys: int = 1, id_col: str = "vec_id", block: int = 1_024, copies: int | None = None,
+    rows: DataFrame, asked: DataFrame, counts: tuple[int, int], k: int, best, width: tuple[int, int], keys: int = 1, id_col: str = "vec_id", block: int = 1_024,
+    copies: int | None = None,
 ) -> DataFrame:
     """qid, rk, id and distance of the k best rows (key, id, v) for each query (key, id, v) of the same key (0 to ``keys`` - 1).
 
     Queries are dealt into groups, rows into shares, by the hash of their ids. Each group meets each share in a task of its own,
     which holds the queries in blocks, each with its k best (``best`` makes that of ids and vectors), while row blocks stream
-    past. ``width`` is what a row and a query take, in bytes.
+    past. ``counts`` and ``width`` are numbers of rows and queries and the bytes that each takes; only shares depend on them.
     """
-    n, m, tasks = rows.count(), asked.count(), tasks_wanted(rows.sparkSession)
+    n, m = counts
+    tasks = min(tasks_wanted(rows.sparkSession), n * m // PAIRS + 1)
     groups, salts = _shares(n, m, width[0], width[1] + 24 * k, -(-tasks // keys))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -210,7 +214,7 @@ def _kind(*vectors: tuple[DataFrame, str]) -> str:
 
 def knn_blocks(
     rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding",
-    block: int = 1_024, skip_own: bool = False, key: tuple[str, int] | None = None,
+    block: int = 1_024, skip_own: bool = False, key: tuple[str, int] | None = None, counts: tuple[int, int] | None = None,
 ) -> DataFrame:
     """As knn_batch for l2, cosine and ip and any number of queries, by matrix products.
 
@@ -221,7 +225,8 @@ def knn_blocks(
 
     Null ids, and vectors that are null or hold a null, take no part; only vectors of one length meet. Query ids are unique.
     With ``skip_own`` a row with the query's own id is no neighbour of it. With ``key``, a column of both and the number of
-    its values (0 and up), only rows of the query's own key are neighbours, and a query may have several keys.
+    its values (0 and up), only rows of the query's own key are neighbours, and a query may have several keys. ``counts`` of rows and queries, where
+    known, save counting them.
     """
     if metric not in ("l2", "cosine", "ip"):
         raise ValueError(f"no matrix form of {metric}")
@@ -230,7 +235,7 @@ def knn_blocks(
     of = None if name is None else F.col(name)
     rows, asked = _vectors(rows, id_col, vector, kind, of), _vectors(queries, "qid", "qv", kind, of)
     width = 8 + 64 * (4 if kind == "float" else 8)
-    return nearest_blocks(rows, asked, k, lambda ids, x: _Best(ids, x, k, metric, skip_own), (width, width), keys, id_col, block, k + skip_own)
+    return nearest_blocks(rows, asked, counts or (rows.count(), asked.count()), k, lambda ids, x: Best(ids, x, k, metric, skip_own), (width, width), keys, id_col, block, k + skip_own)
 
 
 def merge_layers(layers: list[DataFrame], k: int, id_col: str = "vec_id") -> DataFrame:

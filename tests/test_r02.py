@@ -64,3 +64,9 @@ def test_a_graph_of_all_rows_shuffles_in_proportion(spark):
     for n in (10**5, 10**7, 10**9):
         groups, salts = knn._shares(n, n, 264, 456, tasks)
         assert tasks <= groups * salts and groups + salts <= 2 * tasks
+
+
+@pytest.mark.parametrize("name", ["ann_ivf"])
+def test_recall_with_more_queries_than_are_broadcast(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(knn._few, "__defaults__", (5,))
+    assert entry.queries()[name](spark, sf).first().good
