@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,13 +158,14 @@ def _shares(n: int, queries: int, row_bytes: int, query_bytes: int, tasks: int)
 
 def nearest_blocks(
     rows: DataFrame, asked: DataFrame, counts: tuple[int, int], k: int, best, width: tuple[int, int], keys: int = 1, id_col: str = "vec_id", block: int = 1_024,
-    copies: int | None = None,
+    copies: int | None = None, of: Callable[[int], int] | None = None,
 ) -> DataFrame:
     """qid, rk, id and distance of the k best rows (key, id, v) for each query (key, id, v) of the same key (0 to ``keys`` - 1).
 
     Queries are dealt into groups, rows into shares, by the hash of their ids. Each group meets each share in a task of its own,
     which holds the queries in blocks, each with its k best (``best`` makes that of ids and vectors), while row blocks stream
     past. ``counts`` and ``width`` are numbers of rows and queries and the bytes that each takes; only shares depend on them.
+    Rows meet queries of their own length, or, with ``of``, of any length that it gives the same number.
     """
     n, m = counts
     tasks = min(tasks_wanted(rows.sparkSession), n * m // PAIRS + 1)
@@ -179,7 +180,9 @@ def nearest_blocks(
     asked = packed(asked, groups, m).select("key", "dim", (F.col("part") % groups).alias("grp"), each(salts).alias("salt"), F.lit(0).alias("kind"), "ids", "vs")
     dealt = packed(rows, salts, n, copies).select("key", "dim", each(groups).alias("grp"), (F.col("part") % salts).alias("salt"), F.lit(1).alias("kind"), "ids", "vs")
     unit = ((F.col("key") * groups + F.col("grp")) * salts + F.col("salt")).cast("int")
-    dealt = asked.union(dealt).repartitionById(keys * groups * salts, unit).sortWithinPartitions("dim", "kind").select("dim", "kind", "ids", "vs")
+    dealt = asked.union(dealt).repartitionById(keys * groups * salts, unit)
+    dealt = (dealt.sortWithinPartitions("kind") if of else dealt.sortWithinPartitions("dim", "kind")).select("dim", "kind", "ids", "vs")
+    alike = of or (lambda dim: dim)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -189,9 +192,9 @@ def nearest_blocks(
                 dim, kind = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                 ids, x = batch.column(2)[r].values.to_numpy(), batch.column(3)[r].values.to_numpy()
                 x = x.reshape(len(ids), dim).astype(float)
-                if dim != now:
+                if alike(dim) != now:
                     yield from map(done, held)
-                    now, held = dim, []
+                    now, held = alike(dim), []
                 if not kind:
                     held.append(best(ids, x))
                 else:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import total
 from ..sources.scratch import stored
+from .knn import MAX_QUERIES, Best, nearest_blocks, top
 
 
 def per_dimension(rows: DataFrame, vector: str = "embedding", **aggregates) -> DataFrame:
@@ -168,6 +170,44 @@ def adc_search(encoded: DataFrame, codebook: DataFrame, query: list[float], k: i
     return best.select(id_col, metric_of(metric)(F.col(exact), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+class _LookedUp(Best):
+    """The k nearest so far of a block of queries by looked-up distances, while blocks of codes go by."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, book: list[np.ndarray], metric: str):
+        super().__init__(ids, q, k, metric, False)
+        ends = np.cumsum([0] + [centroids.shape[1] for centroids in book])
+        added = lambda a, b: np.cumsum({"l2": (a - b) ** 2}.get(metric, a * b), axis=1)[:, -1]  # noqa: E731  in the order of lookup_table
+        one = {"l2": added, "cosine": lambda a, b: 1 - added(a, b), "ip": lambda a, b: -added(a, b)}[metric]
+        self.table = [np.stack([one(q[:, a:b], c) for c in centroids]) for centroids, a, b in zip(book, ends, ends[1:], strict=False)]
+
+    def add(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        sums = np.zeros((len(ids), len(self.q)))
+        for table, code in zip(self.table, codes.T.astype(int), strict=True):
+            sums += table[code]
+        sums, bound = np.ascontiguousarray(sums.T), self.last**2 if self.metric == "l2" else self.last
+        slack = 4 * np.finfo(float).eps * np.where(np.isfinite(bound), np.abs(bound), 0)
+        self._take(ids, sums, bound, slack, (lambda i, j: np.sqrt(sums[i, j])) if self.metric == "l2" else (lambda i, j: sums[i, j]))
+
+
+def adc_batch(encoded: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", exact: str | None = None, over: int = 4) -> DataFrame:
+    """As adc_search, for any number of queries (qid, qv): qid, rk, id and distance. Blocks of codes stream past groups of
+    queries, whose tables are made where they are used; only the best are shuffled."""
+    from ..functions.vector import metric as metric_of
+
+    book = [np.array(b, float) for b in books(codebook).first()["book"]]
+    rows = encoded.select(F.lit(0).alias("key"), F.col(id_col).cast("long").alias("id"), F.col("code").cast("array<float>").alias("v")).filter("v is not null and not exists(v, c -> c is null)")
+    asked = queries.select(F.lit(0).alias("key"), F.col("qid").cast("long").alias("id"), F.col("qv").cast("array<double>").alias("v")).filter("v is not null and not exists(v, x -> x is null)")
+    n, dim = over * k if exact else k, sum(b.shape[1] for b in book)
+    asked = asked.filter(F.size("v") == dim)
+    counts, width = (encoded.select(id_col).count(), queries.count()), (8 + 4 * len(book), 8 + 8 * dim)
+    best = nearest_blocks(rows, asked, counts, n, lambda ids, x: _LookedUp(ids, x, n, book, metric), width, id_col=id_col, of=lambda dim: 0)
+    if exact is None:
+        return best
+    qv = queries.select("qid", "qv")
+    pairs = best.select("qid", id_col).join(encoded.select(id_col, exact), id_col).join(F.broadcast(qv) if counts[1] <= MAX_QUERIES else qv, "qid")
+    return top(pairs.select("qid", id_col, metric_of(metric)(F.col(exact), F.col("qv")).alias("distance")), k, "qid", F.col("distance"), id_col)
+
+
 def refine(codebook: DataFrame, rows: DataFrame, m: int, dim: int, rate: float = 0.01, seq: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Moves the nearest centroid of each part towards each vector, in order of ``seq``. Each step depends on the one
     before, so each part is one ordered fold; it holds the codebook and one vector at a time."""

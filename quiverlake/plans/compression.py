@@ -162,13 +162,9 @@ def pq_refine(spark, sf):
 @query("SELECT count(*) AS queries, TRUE AS good FROM embeddings WHERE vec_id % 20 = 0")
 def pq_recall(spark, sf):
     """Whether looked-up distances, by a trained codebook of 16 parts, the 200 best ranked again, reach a mean recall@10 of 0.9."""
-    from ..functions.vector import l2
-
     e, m = embeddings(spark, sf), 16
     book = Z.pq_train(e, m, 32, DIM, iterations=3, store=stored)
     asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    lut = asked.crossJoin(F.broadcast(Z.books(book))).select("qid", "qv", Z.lookup_table(F.col("qv"), F.col("book"), m, DIM).alias("lut"))
-    scored = Z.pq_encode(e, book, m, DIM).crossJoin(F.broadcast(lut)).select("qid", "qv", "vec_id", "embedding", Z.adc_distance(F.col("code"), F.col("lut")).alias("distance"))
-    near = K.top(scored, 200, "qid", F.col("distance"), "vec_id").select("qid", "vec_id", l2("embedding", "qv").alias("distance"))
-    each = K.recall(K.top(near, 10, "qid", F.col("distance"), "vec_id"), K.knn_batch(e, asked, 10), 10)
+    found = Z.adc_batch(Z.pq_encode(e, book, m, DIM), book, asked, 10, exact="embedding", over=20)
+    each = K.recall(found, K.knn_blocks(e, asked, 10), 10)
     return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("good"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quiverlake.operators import knn
+from quiverlake.operators import knn, quantize
+from quiverlake.sources.scratch import stored
 
 
 def both(spark, folder, name, **tables):
@@ -66,7 +67,19 @@ def test_a_graph_of_all_rows_shuffles_in_proportion(spark):
         assert tasks <= groups * salts and groups + salts <= 2 * tasks
 
 
-@pytest.mark.parametrize("name", ["ann_ivf"])
+@pytest.mark.parametrize("name", ["ann_ivf", "pq_recall"])
 def test_recall_with_more_queries_than_are_broadcast(spark, sf, monkeypatch, name):
     monkeypatch.setattr(knn._few, "__defaults__", (5,))
     assert entry.queries()[name](spark, sf).first().good
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_looked_up_distances_in_blocks(spark, sf, metric):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    book = quantize.first_codebook(e, 5, 7, 64)  # parts of 13, the last one shorter
+    coded = stored(quantize.pq_encode(e, book, 5, 64))
+    asked = e.filter("vec_id in (3, 8, 40)").selectExpr("vec_id as qid", "embedding as qv")
+    got = {(r.qid, r.rk): (r.vec_id, r.distance) for r in quantize.adc_batch(coded, book, asked, 9, metric).collect()}
+    for q in asked.collect():
+        want = quantize.adc_search(coded, book, list(q.qv), 9, 5, metric).collect()
+        assert [got[q.qid, i + 1] for i in range(9)] == [(r.vec_id, r.distance) for r in want]
