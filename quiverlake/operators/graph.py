@@ -12,10 +12,26 @@ from ..functions.vector import l2
 from .knn import knn_blocks, top
 
 
-def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding", n: int | None = None) -> DataFrame:
+#: Rows of a segment (64 dimensions in double: 2 megabytes). A walk with a list of 50 finds fewer of the ten nearest in larger
+#: ones: of vectors spread evenly in 64 dimensions 0.95 of 4,000, 0.91 of 8,000, 0.86 of 14,700.
+SEGMENT = 4_096
+
+
+def segments(rows: DataFrame, id_col: str = "vec_id", size: int = SEGMENT, few: int = 16) -> tuple[DataFrame, tuple[str, int]]:
+    """Adds ``segment``, dealing rows by the hash of their ids into segments of about ``size``; and that column with their number.
+    Beyond ``few`` segments they are up to twice as large: of each only the nearest one or two rows count then, which are found more
+    often. A graph of each segment takes work in proportion to the rows, one of all rows to their square."""
+    n = rows.count()
+    n = max(1, min(few, -(-n // size)), -(-n // (2 * size)))
+    return rows.withColumn("segment", F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(n)).cast("int")), ("segment", n)
+
+
+def edges(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding", n: int | None = None, key: tuple[str, int] | None = None) -> DataFrame:
     """src, dst and distance: each row's m nearest less itself, so the m - 1 nearest others, however many are equal to it.
-    Block products, not pairs of rows, and only what is kept is shuffled. ``n``, the number of rows, saves counting them."""
-    near = knn_blocks(rows, rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv")), m - 1, "l2", id_col, vector, skip_own=True, counts=n and (n, n))
+    Block products, not pairs of rows, and only what is kept is shuffled. ``n``, the number of rows, saves counting them. With
+    ``key``, a column and the number of its values (0 and up), only rows of one value are tied."""
+    asked = rows.select(F.col(id_col).alias("qid"), F.col(vector).alias("qv"), *([key[0]] if key else []))
+    near = knn_blocks(rows, asked, m - 1, "l2", id_col, vector, skip_own=True, key=key, counts=n and (n, n))
     return near.select(F.col("qid").alias("src"), F.col(id_col).alias("dst"), "distance")
 
 
@@ -114,18 +130,22 @@ def choose_probes(index: DataFrame, centres: DataFrame, k: int, target: float =
 
 
 # --- layered graphs -------------------------------------------------------------------------------------------------
-def build_layers(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def build_layers(rows: DataFrame, m: int, id_col: str = "vec_id", vector: str = "embedding", key: tuple[str, int] | None = None) -> DataFrame:
     """layer, src, dst and distance of a layered graph: a node is in all layers up to its hashed level; in each layer it is
     tied to its m nearest there, in both directions, and keeps the nearest 2 m of its edges in layer 0, m above. The
-    highest layer is the first with m nodes or fewer, whose nodes are a search's entries; its edges tie all of them."""
-    levelled, out = rows.select(id_col, vector, hashed_level(id_col).alias("level")), None
-    sizes, layer = {r["layer"]: r["nodes"] for r in layers(rows, id_col).collect()}, 0
+    highest layer is the first with m nodes or fewer, whose nodes are a search's entries; its edges tie all of them. With
+    ``key``, as in edges(), the rows of each value have a graph of their own, and layers go on until that holds for each."""
+    part = F.lit(0) if key is None else F.col(key[0])
+    levelled, out = rows.select(id_col, vector, hashed_level(id_col).alias("level"), part.alias("part")), None
+    each = levelled.select(F.explode(F.sequence(F.lit(0), "level")).alias("layer"), "part").groupBy("layer", "part").agg(F.count("*").alias("n"))
+    sizes = {r["layer"]: (r["n"], r["most"]) for r in each.groupBy("layer").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+    layer = 0
     while True:
-        own, n = levelled.filter(F.col("level") >= layer), sizes.get(layer, 0)
+        own, (n, most) = levelled.filter(F.col("level") >= layer), sizes.get(layer, (0, 0))
         turned = F.array(F.struct("src", "dst", "distance"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
-        both = edges(own, m + 1, id_col, vector, n).select(F.explode(turned).alias("e")).select("e.*").distinct()
+        both = edges(own, m + 1, id_col, vector, n, key and ("part", key[1])).select(F.explode(turned).alias("e")).select("e.*").distinct()
         capped = top(both, 2 * m if layer == 0 else m, "src", F.col("distance"), "dst").drop("rk").select(F.lit(layer).alias("layer"), "src", "dst", "distance")
         out = capped if out is None else out.unionByName(capped)
-        if n <= m:
+        if most <= m:
             return out
         layer += 1

@@ -147,11 +147,11 @@ def tasks_wanted(spark: SparkSession) -> int:
     return 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _shares(n: int, queries: int, row_bytes: int, query_bytes: int, tasks: int) -> tuple[int, int]:
-    """Groups of queries and shares of rows, ``tasks`` or more together, so that the least is shuffled: each group meets all
-    shares. A group has GROUP queries at most, but there are no more than ``tasks`` groups, so what is shuffled grows as
-    the input."""
-    first = min(max(1, -(-queries // GROUP)), tasks)
+def _shares(n: int, queries: int, row_bytes: int, query_bytes: int, tasks: int, most: int | None = None) -> tuple[int, int]:
+    """Groups of queries and shares of rows (``most`` at most), ``tasks`` or more together, so that the least is shuffled: each
+    group meets all shares. A group has GROUP queries at most, but there are no more than ``tasks`` groups, so what is
+    shuffled grows as the input."""
+    first = min(max(1, -(-queries // GROUP), -(-tasks // (most or tasks))), tasks)
     choices = [(g, -(-tasks // g)) for g in range(first, max(first, min(tasks, queries)) + 1)]
     return min(choices, key=lambda c: c[0] * n * row_bytes + c[1] * queries * query_bytes)
 
