@@ -43,7 +43,8 @@ class GraphParameters:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    turned = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))  # no union: the edges are found once
+    return edges.select(F.explode(turned).alias("e")).select("e.src", "e.dst").distinct()
 
 
 def layered(edges: DataFrame, levels: DataFrame) -> DataFrame:
